@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bitsift.llm import bpe, decontaminate, exact_dedup
+from bitsift.llm import bpe, decontaminate, exact_dedup, ngram_join
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,6 +34,10 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select(F.col("id").alias("doc_id"), "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.ngram_components(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
 OP5_SQL = r"""
 WITH n AS (
   SELECT doc_id, length(coalesce(text, '')) AS points,
@@ -50,5 +54,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": op1_decontaminate,
     "op4_bpe": op4_bpe,
     "op5_exact_dedup": op5_exact_dedup,
+    "op8_ngram_join": op8_ngram_join,
 }
 ORACLES: dict[str, str] = {"op5_exact_dedup": OP5_SQL}
