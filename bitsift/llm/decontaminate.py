@@ -26,6 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -150,17 +151,21 @@ def _steps(n: np.ndarray) -> np.ndarray:
 SPANS = "id long, n_words long, starts array<long>, ends array<long>, items array<string>"
 
 
-def contamination_spans(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, block_bytes: int = 16 << 20) -> DataFrame:
-    """One row per document: id, n_words, hit runs of words (starts, ends), items found."""
-    spark = docs.sparkSession
+def indexes(benchmark: DataFrame, item_col: str, item_text_col: str, window: int, block_bytes: int) -> Iterator[Broadcast]:
+    """The benchmark's index, broadcast in blocks of about ``block_bytes`` of text."""
     items = benchmark.where(F.col(item_col).isNotNull() & F.col(item_text_col).isNotNull()).select(item_col, item_text_col)
     size = items.agg(F.sum(F.octet_length(item_text_col))).first()[0] or 0
     blocks = max(1, -(-size // block_bytes))
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    parts = []
     for block in range(blocks):
         part = items if blocks == 1 else items.where(F.pmod(F.xxhash64(item_col, item_text_col), F.lit(blocks)) == block)
-        index = spark.sparkContext.broadcast(Index([tuple(r) for r in part.collect()], window))
+        yield benchmark.sparkSession.sparkContext.broadcast(Index([tuple(r) for r in part.collect()], window))
+
+
+def contamination_spans(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, block_bytes: int = 16 << 20) -> DataFrame:
+    """One row per document: id, n_words, hit runs of words (starts, ends), items found."""
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    parts = []
+    for index in indexes(benchmark, item_col, item_text_col, window, block_bytes):
 
         def scan(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -196,6 +201,23 @@ def contamination_spans(docs: DataFrame, benchmark: DataFrame, id_col: str = "do
     )
 
 
+def reject(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, block_bytes: int = 16 << 20) -> DataFrame:
+    """The rows of docs, all columns, without a hit; a narrow filter for each block of the benchmark."""
+    at = docs.columns.index(text_col)
+    for index in indexes(benchmark, item_col, item_text_col, window, block_bytes):
+
+        def run(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                clean = np.ones(batch.num_rows, bool)
+                for base, raws in chunks(batch.column(at).to_pylist()):
+                    words, _, a, _ = index.value.hits(raws)
+                    clean[base + np.searchsorted(words.first, a, "right") - 1] = False
+                yield batch.filter(pa.array(clean))
+
+        docs = docs.mapInArrow(run, docs.schema)
+    return docs
+
+
 def merged(runs) -> list[tuple[int, int]]:
     """Sorted runs without overlaps."""
     out: list[list[int]] = []

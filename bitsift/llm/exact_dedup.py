@@ -26,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from bitsift.llm.common import join_sized, materialise
+from bitsift.llm.common import BROADCAST_BYTES, join_sized, materialise
 
 #: Leading bits that the directory may use at most; 2**MAX_DEPTH counts reach the driver.
 MAX_DEPTH = 12
@@ -117,3 +117,20 @@ def _differing(docs: DataFrame, id_col: str, text_col: str, chains: DataFrame) -
     members = join_sized(text, copies, ["hash"], "inner", 120, rows).where(F.sha2("norm", 256) == F.col("digest"))
     ends = members.groupBy("hash", "digest").agg(F.min("norm").alias("a"), F.max("norm").alias("b"))
     return [r["digest"] for r in ends.where("a <> b").select("digest").limit(8).collect()]
+
+
+def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The rows of docs, all columns, that stay.  Rows that repeat both an id and a text stay once."""
+    groups = materialise(exact_groups(docs, id_col, text_col, **options), "dedup-groups")
+    name = "digest"
+    while name in docs.columns:
+        name += "_"
+    keyed = docs.withColumn(name, F.sha2(normalised(F.col(text_col)), 256))
+    gone = groups.where(~F.col("kept")).select(F.col("id").alias("gone_id"), F.col("text_sha256").alias("gone_digest"))
+    gone = materialise(gone.distinct(), "dedup-gone")
+    same = F.col(id_col).cast("long").eqNullSafe(F.col("gone_id")) & (F.col(name) == F.col("gone_digest"))
+    rest = keyed.join(F.broadcast(gone) if gone.count() * 110 <= BROADCAST_BYTES else gone, same, "left_anti")
+    again = groups.where("kept").groupBy("id", "text_sha256").agg(F.count("*").alias("c")).where("c > 1")
+    if not again.isEmpty():
+        rest = rest.dropDuplicates([id_col, name])
+    return rest.drop(name)

@@ -37,7 +37,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bitsift.llm.common import NOT_SPACE, Words, chunks, join_sized, materialise, mix
+from bitsift.llm.common import BROADCAST_BYTES, NOT_SPACE, Words, chunks, join_sized, materialise, mix
 from bitsift.llm.components import connected_components
 from bitsift.llm.decontaminate import _steps
 
@@ -307,6 +307,14 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     return full.unionByName(sets.where("n = 0").select("id", F.col("n").alias("n_shingles"), F.col("id").alias("component_id")))
 
 
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 4, percent: int = 85) -> DataFrame:
+    """The rows of docs, all columns, without those whose component has a smaller id.  Rows that share an id go or stay together."""
+    found = ngram_components(docs, id_col, text_col, k, percent)
+    gone = materialise(found.where("NOT (id <=> component_id)").select(F.col("id").alias("gone_id")).distinct(), "near-gone")
+    same = F.col(id_col).cast("long").eqNullSafe(F.col("gone_id"))
+    return docs.join(F.broadcast(gone) if gone.count() * 16 <= BROADCAST_BYTES else gone, same, "left_anti")
+
+
 def brute_force(docs: list[tuple[int, str | None]], k: int = 4, percent: int = 85) -> dict[int, tuple[int, int]]:
     """What tests compare with: every pair."""
     sets = {}
