@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bitsift.llm import bpe, decontaminate, exact_dedup, html_text, licenses, ngram_join, toxicity, warc
+from bitsift.llm import bpe, decontaminate, exact_dedup, html_text, licenses, ngram_join, suffix_dedup, toxicity, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -57,6 +57,11 @@ def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.ngram_components(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
 
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+    return found.select(F.col("id").alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 OP5_SQL = r"""
 WITH n AS (
   SELECT doc_id, length(coalesce(text, '')) AS points,
@@ -78,5 +83,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_html_text": op6_html_text,
     "op7_toxicity": op7_toxicity,
     "op8_ngram_join": op8_ngram_join,
+    "op9_suffix_dedup": op9_suffix_dedup,
 }
 ORACLES: dict[str, str] = {"op3_licenses": licenses.oracle_sql(), "op5_exact_dedup": OP5_SQL}
