@@ -5,12 +5,13 @@ order: tokens that aren't frequent come first, by hash; frequent ones follow, by
 count.  Any order gives right results; this one keeps frequent tokens out of the
 short prefixes in which two similar sets must meet.
 
-1. Sets are built once and written; equal sets collapse to one.
+1. Of each set the size, a digest and the prefix are written; equal sets collapse
+   to one.  Whole sets are built again from the texts of those that step 4 opens.
 2. Similar documents are put into groups: minhash bands nominate a leader for
    each document, a leader's link is verified, and the linked ones are a group.
 3. The matrix holds, for each token of the members' prefixes, the groups whose
    union has it, with their range of set sizes.  A document looks its own prefix
-   up: a group is a candidate only if enough tokens meet and sizes allow it.
+   up: a group is a candidate only if enough tokens meet for the sizes at hand.
    Documents of one group are connected already, so no pairs inside it are made.
 4. A candidate group is opened by parts of at most GROUP members: the overlap
    with the part's token union bounds that with any member; only where the bound
@@ -41,7 +42,7 @@ from bitsift.llm.common import BROADCAST_BYTES, NOT_SPACE, Words, chunks, join_s
 from bitsift.llm.components import connected_components
 from bitsift.llm.decontaminate import _steps
 
-#: Most tokens that are called frequent; their order is broadcast (16 bytes each).
+#: Most tokens that are called frequent; their order is broadcast (12 bytes each).
 FREQUENT = 400_000
 #: Members that are opened together.
 GROUP = 256
@@ -66,7 +67,7 @@ def shingle_sets(raws: list[bytes], k: int) -> list[np.ndarray]:
 
 
 def _counts(k: int):
-    """Tokens met three times or more in a batch, with their counts; token null: all of the batch."""
+    """Tokens met twice or more in a batch, with their counts; token null: all of the batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -74,7 +75,7 @@ def _counts(k: int):
             every = np.sort(np.concatenate(sets)) if sets else np.empty(0, np.uint64)
             first = np.flatnonzero(np.append(True, every[1:] != every[:-1])) if len(every) else np.empty(0, np.int64)
             n = np.diff(np.append(first, len(every)))
-            keep = n >= 3
+            keep = n >= 2
             yield pa.RecordBatch.from_arrays([pa.array([None, *every[first[keep]].astype(np.int64).tolist()], pa.int64()), pa.array([len(every), *n[keep].tolist()], pa.int64())], ["token", "n"])
 
     return run
@@ -97,7 +98,7 @@ class Order:
         return tokens[np.lexsort((tokens, rank))]
 
 
-def _sets(k: int, order, seeds: np.ndarray):
+def _sets(k: int, order, seeds: np.ndarray, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         uid = TaskContext.get().partitionId() << 36
         for batch in batches:
@@ -112,10 +113,10 @@ def _sets(k: int, order, seeds: np.ndarray):
                         sums = (int(s.sum(dtype=np.uint64)), int(mix(s + np.uint64(77)).sum(dtype=np.uint64)))
                     else:
                         sums = (0, 0)
-                    for c, v in zip(cols, (uid, len(s), _signed(sums[0]), _signed(sums[1]), keys, order.value.sort(s).tobytes()), strict=True):
+                    for c, v in zip(cols, (uid, len(s), _signed(sums[0]), _signed(sums[1]), keys, order.value.sort(s)[: prefix_length(len(s), percent)].tobytes()), strict=True):
                         c.append(v)
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column("id"), *(pa.array(c, t) for c, t in zip(cols, kinds, strict=True))], ["id", "uid", "n", "sig1", "sig2", "keys", "tokens"])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("h"), *(pa.array(c, t) for c, t in zip(cols, kinds, strict=True))], ["id", "h", "uid", "n", "sig1", "sig2", "keys", "prefix"])
 
     return run
 
@@ -133,13 +134,24 @@ def prefix_length(n: int, percent: int) -> int:
     return min(n, n - least_overlap(n, percent) + SHARED)
 
 
-def _matrix_blocks(percent: int, buckets: int):
+def _whole_sets(k: int):
+    """The tokens, sorted, of each text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [s.tobytes() for _, raws in chunks(batch.column("text").to_pylist()) for s in shingle_sets(raws, k)]
+            yield pa.RecordBatch.from_arrays([batch.column("uid"), pa.array(sets, pa.binary())], ["uid", "tokens"])
+
+    return run
+
+
+def _matrix_blocks(buckets: int):
     """Prefix tokens by bucket of the token: blocks of (token, document), with the documents' group and size."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             uid, comp, n = (batch.column(c).to_numpy() for c in ("uid", "comp", "n"))
-            prefix = [np.frombuffer(t, np.uint64, prefix_length(int(m), percent)) for t, m in zip(batch.column("tokens").to_pylist(), n, strict=True)]
+            prefix = [np.frombuffer(t, np.uint64) for t in batch.column("prefix").to_pylist()]
             token = np.concatenate(prefix) if prefix else np.empty(0, np.uint64)
             owner = np.repeat(np.arange(len(n), dtype=np.int32), [len(p) for p in prefix])
             bucket = (mix(token) % np.uint64(buckets)).astype(np.int64)
@@ -157,7 +169,7 @@ def _matrix_blocks(percent: int, buckets: int):
 
 
 def _matrix_lookup(percent: int, slice_pairs: int = 2_000_000):
-    """For each bucket of tokens: (document, group, shared tokens) where sizes allow a link and the group isn't its own."""
+    """For each bucket of tokens: (document, group, shared tokens, sizes met) where sizes allow a link and the group isn't its own."""
 
     def pairs_of(blocks: list[dict]) -> Iterator[pa.RecordBatch]:
         token = np.concatenate([np.frombuffer(b["token"], np.uint64) for b in blocks])
@@ -181,12 +193,13 @@ def _matrix_lookup(percent: int, slice_pairs: int = 2_000_000):
             q = np.repeat(own, before[own])
             g = row_first[q] + _steps(before[own])
             fits = (n[q] * percent <= high[g] * 100) & (low[g] * percent <= n[q] * 100)
-            q, g = uid[q[fits]], comp[first[g[fits]]]
+            q, g, small, large = uid[q[fits]], comp[first[g[fits]]], low[g[fits]], high[g[fits]]
             if len(q):
                 at = np.lexsort((g, q))
-                q, g = q[at], g[at]
+                q, g, small, large = q[at], g[at], small[at], large[at]
                 start = np.flatnonzero(np.append(True, (q[1:] != q[:-1]) | (g[1:] != g[:-1])))
-                yield pa.RecordBatch.from_arrays([pa.array(q[start]), pa.array(g[start]), pa.array(np.diff(np.append(start, len(q))))], ["q", "g", "shared"])
+                columns = (q[start], g[start], np.diff(np.append(start, len(q))), np.minimum.reduceat(small, start), np.maximum.reduceat(large, start))
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["q", "g", "shared", "low", "high"])
             a = b
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -239,7 +252,25 @@ def _opened(percent: int):
     return run
 
 
-def _links(asks: DataFrame, members: DataFrame, sets: DataFrame, percent: int, block: int = 512) -> DataFrame:
+def needed(n, low, high, percent: int):
+    """Prefix tokens that a document of n tokens must share with a group whose members have low to high tokens.
+
+    With two sets whose last prefix tokens are u <= v, all common tokens up to u
+    are in both prefixes, and after u the first set has n - p tokens; so at least
+    overlap - (n - p) prefix tokens are shared.  n - p grows with n: the larger set's counts.
+    """
+    low = F.greatest(low, F.ceil(n * percent / F.lit(100)))
+    high = F.least(high, F.floor(n * 100 / F.lit(percent)))
+
+    def at(m):
+        overlap = F.ceil((n + m) * percent / F.lit(100 + percent))
+        return overlap - F.greatest(F.lit(0), F.ceil(F.greatest(n, m) * percent / F.lit(100)) - SHARED)
+
+    # between two sizes rounding may lower the bound by one
+    return F.greatest(F.lit(1), F.least(at(low), at(high)) - F.when(low < high, 1).otherwise(0))
+
+
+def _links(asks: DataFrame, members: DataFrame, texts: DataFrame, owners: DataFrame, k: int, percent: int, block: int = 512) -> DataFrame:
     """asks (q, g), members (g, part, m): verified links (a, b).  A group's askers are dealt to blocks of about ``block``."""
     blocks = asks.groupBy("g").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
     asked = asks.join(blocks, "g").withColumn("block", F.pmod(F.xxhash64("q"), F.col("blocks")).cast("int"))
@@ -249,8 +280,11 @@ def _links(asks: DataFrame, members: DataFrame, sets: DataFrame, percent: int, b
         .unionByName(asked.join(parts, "g").select("g", "part", "block", F.lit(1).alias("role"), F.col("q").alias("uid")))
     )
     rows = materialise(rows, "opened")
-    full = join_sized(sets.select("uid", "tokens"), rows, ["uid"], "inner", 64)
-    n = int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    wanted = materialise(owners.select("uid", "id", "h").join(rows.select("uid").distinct(), "uid").select("uid", F.coalesce("id", F.lit(0)).alias("id"), "h"), "wanted")
+    found = join_sized(texts.withColumn("id", F.coalesce("id", F.lit(0))), wanted, ["id", "h"], "inner", 32)
+    sets = found.select("uid", "text").mapInArrow(_whole_sets(k), "uid long, tokens binary")
+    full = join_sized(sets, rows, ["uid"], "inner", 64)
+    n = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = full.select("g", "part", "block", "role", "uid", "tokens").repartition(n, "g", "part", "block").sortWithinPartitions("g", "part", "block", "role", "uid")
     return materialise(dealt.mapInArrow(_opened(percent), "a long, b long"), "links")
 
@@ -258,43 +292,40 @@ def _links(asks: DataFrame, members: DataFrame, sets: DataFrame, percent: int, b
 def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 4, percent: int = 85) -> DataFrame:
     """One row per input row: id, n_shingles, component_id (smallest id that links reach, its own included)."""
     spark = docs.sparkSession
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("h"), F.col(text_col).alias("text"))
     counts = materialise(texts.select("text").mapInArrow(_counts(k), "token long, n long").groupBy("token").agg(F.sum("n").alias("n")), "shingle-counts")
     total = (counts.where("token IS NULL").first() or {"n": 0})["n"]
-    # at most FREQUENT tokens can have so high a count
-    least = max(24, -(-total // FREQUENT))
-    frequent = [r["token"] for r in counts.where(F.col("token").isNotNull() & (F.col("n") >= least)).orderBy("n", "token").collect()]
+    frequent = [r["token"] for r in counts.where(F.col("token").isNotNull() & (F.col("n") >= 6)).orderBy(F.desc("n"), "token").limit(FREQUENT).select("token").collect()][::-1]
     order = spark.sparkContext.broadcast(Order(np.array(frequent, np.int64).astype(np.uint64)))
     seeds = mix(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64))
-    sets = materialise(texts.mapInArrow(_sets(k, order, seeds), "id long, uid long, n long, sig1 long, sig2 long, keys array<long>, tokens binary"), "shingle-sets")
+    sets = materialise(texts.mapInArrow(_sets(k, order, seeds, percent), "id long, h long, uid long, n long, sig1 long, sig2 long, keys array<long>, prefix binary"), "shingle-sets")
 
     # equal sets have one representative
     same = sets.where("n > 0").groupBy("n", "sig1", "sig2").agg(F.min("uid").alias("rep"))
-    owners = materialise(sets.where("n > 0").select("uid", "id", "n", "sig1", "sig2").join(same, ["n", "sig1", "sig2"]).select("uid", "id", "n", "rep"), "shingle-owners")
+    owners = materialise(sets.where("n > 0").select("uid", "id", "h", "n", "sig1", "sig2").join(same, ["n", "sig1", "sig2"]).select("uid", "id", "h", "n", "rep"), "shingle-owners")
     reps = join_sized(sets, owners.where("uid = rep").select("uid"), ["uid"], "left_semi", 16)
 
     # groups: verified links to leaders of minhash bands
     keys = materialise(reps.select("uid", F.explode("keys").alias("key")), "bands")
     leaders = keys.groupBy("key").agg(F.min("uid").alias("g"), F.count("*").alias("c")).where("c > 1").select("key", "g")
     led = materialise(keys.join(leaders, "key").where("uid <> g").select(F.col("uid").alias("q"), "g").distinct(), "led")
-    to_leaders = _links(led, led.select("g", F.lit(0).alias("part"), F.col("g").alias("m")).distinct(), sets, percent)
+    to_leaders = _links(led, led.select("g", F.lit(0).alias("part"), F.col("g").alias("m")).distinct(), texts, owners, k, percent)
     grouped = materialise(connected_components(to_leaders), "groups")
     own_group = materialise(join_sized(owners.where("uid = rep").select("uid"), grouped.withColumnRenamed("node", "uid"), ["uid"], "left", 24).select("uid", F.coalesce("component", "uid").alias("comp")), "own-groups")
 
     # the matrix, and what it nominates
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     buckets = max(n, int(total * 0.2 / 1_000_000))
-    with_group = join_sized(reps.select("uid", "n", "tokens"), own_group, ["uid"], "inner", 24)
-    blocks = with_group.mapInArrow(_matrix_blocks(percent, buckets), "bucket long, token binary, owner binary, uid binary, comp binary, n binary")
-    found = blocks.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(_matrix_lookup(percent), "q long, g long, shared long")
-    sums = found.groupBy("q", "g").agg(F.sum("shared").alias("shared"))
+    with_group = join_sized(reps.select("uid", "n", "prefix"), own_group, ["uid"], "inner", 24)
+    blocks = with_group.mapInArrow(_matrix_blocks(buckets), "bucket long, token binary, owner binary, uid binary, comp binary, n binary")
+    found = blocks.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(_matrix_lookup(percent), "q long, g long, shared long, low long, high long")
+    sums = found.groupBy("q", "g").agg(F.sum("shared").alias("shared"), F.min("low").alias("low"), F.max("high").alias("high"))
     sizes = owners.where("uid = rep").select(F.col("uid").alias("q"), "n")
-    need = F.least(F.lit(SHARED), F.ceil(F.col("n") * percent / 100.0))
-    asks = materialise(sums.join(sizes, "q").where(F.col("shared") >= need).select("q", "g"), "asks")
+    asks = materialise(sums.join(sizes, "q").where(F.col("shared") >= needed(F.col("n"), F.col("low"), F.col("high"), percent)).select("q", "g"), "asks")
     asked = asks.select("g").distinct()
     sizes_of = own_group.groupBy(F.col("comp").alias("g")).agg(F.ceil(F.count("*") / GROUP).alias("parts"))
     members = own_group.select(F.col("comp").alias("g"), F.col("uid").alias("m")).join(asked, "g").join(sizes_of, "g").select("g", F.pmod(F.xxhash64("m"), F.col("parts")).cast("int").alias("part"), "m")
-    across = _links(asks, members, sets, percent)
+    across = _links(asks, members, texts, owners, k, percent)
 
     # links between groups join them
     names = own_group.withColumnRenamed("comp", "c")
