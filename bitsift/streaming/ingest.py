@@ -42,7 +42,7 @@ def add_stream(items: DataFrame, catalog: Catalog, codes_of: Callable[[DataFrame
 
 def metric_stream(events: DataFrame, window: str = "1 hour", late: str = "2 hours") -> DataFrame:
     """Counts and sums of events by type and tumbling window, closed by the watermark."""
-    return events.withWatermark("ts", late).groupBy(F.window("ts", window).alias("w"), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total")).select(F.col("w.start").alias("start"), "event_type", "n", "total")
+    return events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late).groupBy(F.window("ts", window).alias("w"), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total")).select(F.col("w.start").alias("start"), "event_type", "n", "total")
 
 
 class ProgressPush(StreamingQueryListener):
