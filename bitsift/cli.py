@@ -1,4 +1,4 @@
-"""Commands: add, search, train, build, clean (``python -m bitsift.cli``)."""
+"""Commands: add, search, train, build, clean, server (``python -m bitsift.cli``)."""
 
 from __future__ import annotations
 
@@ -47,6 +47,9 @@ def parser() -> argparse.ArgumentParser:
     clean = sub.add_parser("clean")
     clean.add_argument("--all", action="store_true")
     clean.add_argument("--force", action="store_true")
+    server = sub.add_parser("server")
+    server.add_argument("--addr", default="127.0.0.1:8080")
+    server.add_argument("--token")
     return p
 
 
@@ -65,6 +68,11 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
                 print(row["line"])
     elif a.command == "train":
         engine.train(TrainOptions(a.centers, a.images, a.max_iter, a.init, not a.one_level))
+    elif a.command == "server":
+        from bitsift.server import make_server
+
+        host, _, port = a.addr.rpartition(":")
+        make_server(engine, (host, int(port)), token=a.token).serve_forever()
     elif a.command == "build":
         print(engine.build(BuildOptions(a.batch_size), not a.no_merge), "batches")
     elif a.force or input(f"Drop {'all' if a.all else 'indexed'} vectors? [y/N] ").strip().lower() == "y":

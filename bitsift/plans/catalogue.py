@@ -285,17 +285,18 @@ def segment_union_merge(spark, sf_dir):
 
 
 def doc_counts(spark, sf_dir) -> DataFrame:
-    """Documents as images: id from 1, number of full windows of 16 words every 4."""
+    """Documents as images: id from 1, source, number of full windows of 16 words every 4."""
     words = F.size(F.split("text", " "))
-    return table(spark, sf_dir, "documents").select((F.col("doc_id") + 1).alias("id"), F.greatest(F.floor((words - 16) / 4) + 1, F.lit(0)).cast("long").alias("vector_count"))
+    return table(spark, sf_dir, "documents").select((F.col("doc_id") + 1).alias("id"), "source", F.greatest(F.floor((words - 16) / 4) + 1, F.lit(0)).cast("long").alias("vector_count"))
 
 
-_COUNTS = "counts AS (SELECT doc_id + 1 AS id, greatest((len(string_split(text, ' ')) - 16) // 4 + CASE WHEN (len(string_split(text, ' ')) - 16) % 4 < 0 THEN 0 ELSE 1 END, 0)::BIGINT AS vector_count FROM documents)"
-_STATS = f"{_COUNTS}, stats AS (SELECT id, vector_count, sum(vector_count) OVER (ORDER BY id)::BIGINT AS total_vector_count, id % 3 = 0 AS indexed FROM counts)"
+_COUNTS = "counts AS (SELECT doc_id + 1 AS id, source, greatest((len(string_split(text, ' ')) - 16) // 4 + CASE WHEN (len(string_split(text, ' ')) - 16) % 4 < 0 THEN 0 ELSE 1 END, 0)::BIGINT AS vector_count FROM documents)"
+_STATS = f"{_COUNTS}, stats AS (SELECT id, source, vector_count, sum(vector_count) OVER (ORDER BY id)::BIGINT AS total_vector_count, source = 'src0' AS indexed FROM counts)"
 
 
 def doc_stats(spark, sf_dir) -> DataFrame:
-    return catalog.add_stats(doc_counts(spark, sf_dir)).withColumn("indexed", F.col("id") % 3 == 0)
+    """Running totals; the documents of one source count as indexed."""
+    return catalog.add_stats(doc_counts(spark, sf_dir)).withColumn("indexed", F.col("source") == "src0")
 
 
 @query(f"WITH {_STATS} SELECT id, vector_count, total_vector_count FROM stats")
@@ -316,25 +317,26 @@ def vecid_assign(spark, sf_dir):
     return numbering.vector_ids(vectors, stats).select("image_id", "ord", "vec_id")
 
 
-@query(f"WITH {_STATS}, ids AS (SELECT unnest(range(1, (SELECT max(total_vector_count) FROM stats) + 1, 7)) AS vec_id) SELECT vec_id, (SELECT min(id) FROM stats WHERE total_vector_count >= vec_id) AS image_id FROM ids")
+@query(f"WITH {_STATS}, ids AS (SELECT unnest(range(1, (SELECT max(total_vector_count) FROM stats) + 1)) AS vec_id), filled AS (SELECT * FROM stats WHERE vector_count > 0) SELECT vec_id, id AS image_id FROM ids ASOF JOIN filled ON vec_id <= total_vector_count")
 def vecid_to_image(spark, sf_dir):
     stats = doc_stats(spark, sf_dir)
-    top = stats.agg(F.max("total_vector_count").alias("n"))
-    ids = top.select(F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"), F.lit(7).cast("long"))).alias("vec_id"))
+    n = stats.agg(F.max("total_vector_count")).first()[0] or 0
+    ids = spark.range(1, n + 1).withColumnRenamed("id", "vec_id")
     return numbering.image_of_vector(ids, stats).select("vec_id", "image_id")
 
 
 def doc_items(spark, sf_dir) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return docs.select(F.concat_ws("/", "source", F.lpad(F.col("doc_id").cast("string"), 9, "0")).alias("path"), catalog.content_hash(F.col("text")).alias("hash"), "doc_id")
+    return docs.select(F.concat_ws("/", "source", F.lpad(F.col("doc_id").cast("string"), 9, "0")).alias("path"), catalog.content_hash(F.col("text")).alias("hash"), "lang")
 
 
-_ITEMS = "items AS (SELECT source || '/' || lpad(doc_id::VARCHAR, 9, '0') AS path, sha256(text) AS hash, doc_id FROM documents)"
-_IMAGE = "image AS (SELECT hash, [min(path)] AS paths FROM items WHERE doc_id % 2 = 0 GROUP BY hash)"
+_ITEMS = "items AS (SELECT source || '/' || lpad(doc_id::VARCHAR, 9, '0') AS path, sha256(text) AS hash, lang FROM documents)"
+_IMAGE = "image AS (SELECT hash, [min(path)] AS paths FROM items WHERE lang = 'en' GROUP BY hash)"
 
 
 def _known(items: DataFrame) -> DataFrame:
-    first = catalog.first_of_each(items.where("doc_id % 2 = 0"))
+    """The catalog's images: the documents of one language."""
+    first = catalog.first_of_each(items.where("lang = 'en'"))
     return first.select(F.lit(0).cast("long").alias("id"), "hash", F.array("path").alias("paths"))
 
 
@@ -343,37 +345,37 @@ def dedupe_exact(spark, sf_dir):
     return catalog.first_of_each(doc_items(spark, sf_dir)).select(F.lower(F.hex("hash")).alias("hash"), "path")
 
 
-@query(f"WITH {_ITEMS}, {_IMAGE} SELECT hash, min(path) AS path FROM items WHERE doc_id % 2 = 1 AND hash NOT IN (SELECT hash FROM image) GROUP BY hash")
+@query(f"WITH {_ITEMS}, {_IMAGE} SELECT hash, min(path) AS path FROM items WHERE hash NOT IN (SELECT hash FROM image) GROUP BY hash")
 def dedupe_known(spark, sf_dir):
     items = doc_items(spark, sf_dir)
-    return catalog.new_items(items.where("doc_id % 2 = 1"), _known(items)).select(F.lower(F.hex("hash")).alias("hash"), "path")
+    return catalog.new_items(items, _known(items)).select(F.lower(F.hex("hash")).alias("hash"), "path")
 
 
-_FOUND = "found AS (SELECT hash, list_sort(list(DISTINCT path)) AS new FROM items WHERE doc_id % 2 = 1 GROUP BY hash)"
+_FOUND = "found AS (SELECT hash, list_sort(list(DISTINCT path)) AS new FROM items GROUP BY hash)"
 
 
 @query(f"WITH {_ITEMS}, {_IMAGE}, {_FOUND} SELECT hash, array_to_string(paths || coalesce(list_filter(new, lambda p: NOT list_contains(paths, p)), []), chr(30)) AS paths FROM image LEFT JOIN found USING (hash)")
 def append_paths(spark, sf_dir):
     items = doc_items(spark, sf_dir)
-    out = catalog.merge_paths(_known(items), items.where("doc_id % 2 = 1").select("hash", "path"), "append")
+    out = catalog.merge_paths(_known(items), items.select("hash", "path"), "append")
     return out.select(F.lower(F.hex("hash")).alias("hash"), paths.packed(F.col("paths")).alias("paths"))
 
 
 @query(f"WITH {_ITEMS}, {_IMAGE}, {_FOUND} SELECT hash, CASE WHEN new IS NULL THEN paths[1] ELSE new[-1] END AS paths FROM image LEFT JOIN found USING (hash)")
 def overwrite_paths(spark, sf_dir):
     items = doc_items(spark, sf_dir)
-    out = catalog.merge_paths(_known(items), items.where("doc_id % 2 = 1").select("hash", "path"), "overwrite")
+    out = catalog.merge_paths(_known(items), items.select("hash", "path"), "overwrite")
     return out.select(F.lower(F.hex("hash")).alias("hash"), paths.packed(F.col("paths")).alias("paths"))
 
 
 _PH = "ph AS (SELECT vec_id, c0 AS phash FROM emb)"
 
 
-@query(f"WITH {EMB}, {_PH} SELECT a.vec_id AS a, b.vec_id AS b, bit_count(xor(a.phash, b.phash))::INT AS distance FROM ph a, ph b WHERE a.vec_id % 10 = 0 AND bit_count(xor(a.phash, b.phash)) <= 12")
+@query(f"WITH {EMB}, {_PH} SELECT a.vec_id AS a, b.vec_id AS b, bit_count(xor(a.phash, b.phash))::INT AS distance FROM ph a, ph b WHERE a.vec_id < b.vec_id AND bit_count(xor(a.phash, b.phash)) <= 8")
 def dedupe_phash(spark, sf_dir):
     """Near pairs of one-lane hashes by bands."""
     codes = emb(spark, sf_dir).select("vec_id", F.col("c0").alias("phash"))
-    return knn.band_join(codes.where("vec_id % 10 = 0").select(F.col("vec_id").alias("a"), "phash"), codes.select(F.col("vec_id").alias("b"), "phash"), 12)
+    return knn.band_join(codes.select(F.col("vec_id").alias("a"), "phash"), codes.select(F.col("vec_id").alias("b"), "phash"), 8).where("a < b")
 
 
 @query(f"WITH {_STATS} SELECT id, vector_count FROM stats WHERE NOT indexed")
@@ -386,10 +388,10 @@ def unindexed_count(spark, sf_dir):
     return catalog.unindexed(doc_stats(spark, sf_dir)).agg(F.count("*").alias("n"))
 
 
-@query(f"WITH {_STATS} SELECT id, indexed OR id % 5 = 0 AS indexed FROM stats")
+@query(f"WITH {_STATS} SELECT id, indexed OR source = 'src1' AS indexed FROM stats")
 def mark_indexed(spark, sf_dir):
     stats = doc_stats(spark, sf_dir)
-    return catalog.mark_indexed(stats, stats.where("id % 5 = 0").select("id")).select("id", "indexed")
+    return catalog.mark_indexed(stats, stats.where("source = 'src1'").select("id")).select("id", "indexed")
 
 
 def _doc_vectors(stats: DataFrame) -> DataFrame:

@@ -1,7 +1,11 @@
 """Catalog, sources, features, commands and streams end to end on small images."""
 
 import io
+import json
 import tarfile
+import threading
+import urllib.error
+import urllib.request
 
 import numpy as np
 import pytest
@@ -14,6 +18,7 @@ from bitsift.functions.codes import LANES
 from bitsift.metrics import histogram, text_lines
 from bitsift.operators.catalog import Catalog, HashKind, content_hash
 from bitsift.operators.features import Options, describe
+from bitsift.server import make_server
 from bitsift.sources.files import decode_grey, fit_size, read_codes_npy, read_directory, read_items
 from bitsift.streaming.ingest import add_stream, file_stream, metric_stream
 
@@ -129,6 +134,20 @@ def test_commands(spark, pictures, tmp_path, capsys):
     capsys.readouterr()
     main([*conf, "search", str(pictures / "p2.pgm"), "--count", "1"], spark)
     assert capsys.readouterr().out.strip().endswith("p2.pgm")
+    engine = Engine(spark, f"file://{tmp_path}/cli")
+    server = make_server(engine, ("127.0.0.1", 0), token="t")
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    base = f"http://127.0.0.1:{server.server_address[1]}"
+    ask = lambda path, data=None, kind="image/x-portable-graymap": urllib.request.urlopen(urllib.request.Request(base + path, data, {"Authorization": "Bearer t", "Content-Type": kind})).read().decode()
+    found = json.loads(ask("/search?count=1", pgm(image(2))))
+    assert found["result"][0][1].endswith("p2.pgm")
+    form = b'--b\r\nContent-Disposition: form-data; name="nprobe"\r\n\r\n2\r\n--b\r\nContent-Disposition: form-data; name="file"; filename="x"\r\n\r\n' + pgm(np.zeros((99, 99), np.uint8)) + b"\r\n--b--\r\n"
+    assert json.loads(ask("/search", form, "multipart/form-data; boundary=b"))["result"] == []
+    assert 'search_count{size="256",nprobe="3"' in ask("/metrics")
+    for path, data, headers in (("/metrics", None, {}), ("/search", b"junk", {"Authorization": "Bearer t"})):
+        with pytest.raises(urllib.error.HTTPError):
+            urllib.request.urlopen(urllib.request.Request(base + path, data, headers))
+    server.shutdown()
     with pytest.raises(SystemExit):
         main([*conf, "add", "x", "--append", "--overwrite"], spark)
     with pytest.raises(ValueError):
