@@ -81,6 +81,49 @@ k AS (
 SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM k
 """
 
+_LOW = "translate(coalesce({}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+OP1_SQL = rf"""
+WITH d AS MATERIALIZED (SELECT doc_id, regexp_extract_all({_LOW.format("text")}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+i AS (SELECT item_id::VARCHAR AS item, regexp_extract_all({_LOW.format("text")}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark WHERE item_id IS NOT NULL),
+s AS (SELECT item, w, least(len(w), 10) AS m, unnest(range(greatest(len(w) - 9, 1))) AS a FROM i WHERE len(w) > 0),
+windows AS (SELECT DISTINCT item, m, array_to_string(w[a + 1 : a + m], ' ') AS k FROM s),
+starts AS (SELECT doc_id, w, unnest(range(len(w))) AS a FROM d),
+hits AS MATERIALIZED (
+  SELECT doc_id, a, m, item
+  FROM (SELECT doc_id, a, m, array_to_string(w[a + 1 : a + m], ' ') AS k FROM starts, (SELECT DISTINCT m FROM windows) WHERE a + m <= len(w)) JOIN windows USING (m, k)),
+covered AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, a + unnest(range(m)) AS p FROM hits) GROUP BY doc_id),
+found AS (SELECT doc_id, count(*) AS n, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item FROM hits) GROUP BY doc_id)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(covered.n, 0)::BIGINT AS n_hit, coalesce(found.n, 0)::BIGINT AS n_items,
+       sha256(coalesce(items, '')) AS items_sha256, coalesce(covered.n, 0) > 0 AS contaminated
+FROM d LEFT JOIN covered USING (doc_id) LEFT JOIN found USING (doc_id)
+"""
+
+OP2_SQL = """
+WITH p AS (SELECT page_id, strlen(coalesce(html, ''))::BIGINT AS payload_bytes, sha1(coalesce(html, '')) AS h FROM pages),
+f AS (SELECT *, max(page_id) OVER (PARTITION BY h) AS first FROM p)
+SELECT page_id, payload_bytes,
+       array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((('0x' || substr(h, i // 4 * 5 + 1, 5))::BIGINT >> (15 - i % 4 * 5)) & 31)::INT + 1, 1)), '') AS payload_digest,
+       CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> first THEN first END AS refers_to
+FROM f
+"""
+
+OP8_SQL = rf"""
+WITH RECURSIVE d AS MATERIALIZED (SELECT doc_id, regexp_extract_all({_LOW.format("text")}, '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS MATERIALIZED (
+  SELECT DISTINCT doc_id, array_to_string(w[a + 1 : a + 4], ' ') AS k
+  FROM (SELECT doc_id, w, unnest(range(greatest(len(w) - 3, 1))) AS a FROM d WHERE len(w) > 0)),
+n AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+links AS MATERIALIZED (
+  SELECT x.doc_id AS a, y.doc_id AS b FROM s x JOIN s y ON x.k = y.k AND x.doc_id <> y.doc_id
+  JOIN n p ON p.doc_id = x.doc_id JOIN n q ON q.doc_id = y.doc_id
+  GROUP BY x.doc_id, y.doc_id, p.n, q.n HAVING 100 * count(*) >= 85 * (p.n + q.n - count(*))),
+reach(doc_id, other) AS (SELECT a, b FROM links UNION SELECT r.doc_id, l.b FROM reach r JOIN links l ON l.a = r.other)
+SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, least(d.doc_id, min(r.other)) AS component_id
+FROM d LEFT JOIN n USING (doc_id) LEFT JOIN reach r USING (doc_id) GROUP BY d.doc_id, n.n
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": op1_decontaminate,
     "op2_warc": op2_warc,
@@ -93,4 +136,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_quality": op10_quality,
 }
-ORACLES: dict[str, str] = {"op3_licenses": licenses.oracle_sql(), "op5_exact_dedup": OP5_SQL}
+ORACLES: dict[str, str] = {"op1_decontaminate": OP1_SQL, "op2_warc": OP2_SQL, "op8_ngram_join": OP8_SQL, "op3_licenses": licenses.oracle_sql(), "op5_exact_dedup": OP5_SQL}
