@@ -10,9 +10,12 @@ short prefixes in which two similar sets must meet.
 2. Similar documents are put into groups: minhash bands nominate a leader for
    each document, a leader's link is verified, and the linked ones are a group.
 3. The matrix holds, for each token of the members' prefixes, the groups whose
-   union has it, with their range of set sizes.  A document looks its own prefix
-   up: a group is a candidate only if enough tokens meet for the sizes at hand.
-   Documents of one group are connected already, so no pairs inside it are made.
+   union has it, with their range of set sizes.  Tokens of one group only can't be
+   shared with another; they bound what a document can share at all, and most
+   documents fall out here.  The others look their prefixes up: a group is a
+   candidate only if the bounds of both sides allow the overlap that their sizes
+   ask for, and enough tokens meet.  Documents of one group are connected already,
+   so no pairs inside it are made.
 4. A candidate group is opened by parts of at most GROUP members: the overlap
    with the part's token union bounds that with any member; only where the bound
    reaches the threshold are members counted, exactly.
@@ -150,7 +153,7 @@ def _matrix_blocks(buckets: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            uid, comp, n = (batch.column(c).to_numpy() for c in ("uid", "comp", "n"))
+            uid, comp, n, free = (batch.column(c).to_numpy() for c in ("uid", "comp", "n", "free"))
             prefix = [np.frombuffer(t, np.uint64) for t in batch.column("prefix").to_pylist()]
             token = np.concatenate(prefix) if prefix else np.empty(0, np.uint64)
             owner = np.repeat(np.arange(len(n), dtype=np.int32), [len(p) for p in prefix])
@@ -158,29 +161,65 @@ def _matrix_blocks(buckets: int):
             at = np.argsort(bucket, kind="stable")
             token, owner, bucket = token[at], owner[at], bucket[at]
             first = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])) if len(bucket) else []
-            out: list[list] = [[] for _ in range(6)]
+            out: list[list] = [[] for _ in range(7)]
             for a, b in zip(first, np.append(first[1:], len(bucket)).astype(np.int64) if len(bucket) else [], strict=True):
                 docs, local = np.unique(owner[a:b], return_inverse=True)
-                for c, v in zip(out, (int(bucket[a]), token[a:b].tobytes(), local.astype(np.int32).tobytes(), uid[docs].tobytes(), comp[docs].tobytes(), n[docs].astype(np.int32).tobytes()), strict=True):
+                for c, v in zip(out, (int(bucket[a]), token[a:b].tobytes(), local.astype(np.int32).tobytes(), uid[docs].tobytes(), comp[docs].tobytes(), n[docs].astype(np.int32).tobytes(), free[docs].astype(np.int32).tobytes()), strict=True):
                     c.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), *(pa.array(c, pa.binary()) for c in out[1:])], ["bucket", "token", "owner", "uid", "comp", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), *(pa.array(c, pa.binary()) for c in out[1:])], ["bucket", "token", "owner", "uid", "comp", "n", "free"])
 
     return run
 
 
+BLOCKS = "bucket long, token binary, owner binary, uid binary, comp binary, n binary, free binary"
+
+
+def _columns(blocks: list[dict]) -> tuple[np.ndarray, ...]:
+    """Token, document, group, size and bound of every entry, by token and group; and whether each is the first of its token."""
+    token = np.concatenate([np.frombuffer(b["token"], np.uint64) for b in blocks])
+    rest = (np.concatenate([np.frombuffer(b[c], t)[np.frombuffer(b["owner"], np.int32)] for b in blocks]) for c, t in (("uid", np.int64), ("comp", np.int64), ("n", np.int32), ("free", np.int32)))
+    uid, comp, n, free = rest
+    at = np.lexsort((comp, token))
+    token = token[at]
+    return token, uid[at], comp[at], n[at].astype(np.int64), free[at].astype(np.int64), np.append(True, token[1:] != token[:-1])
+
+
+def _by_bucket(work):
+    """Streams the blocks of each bucket, which come sorted, to work."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[dict] = []
+        for batch in batches:
+            for row in batch.to_pylist():
+                if held and held[-1]["bucket"] != row["bucket"]:
+                    yield from work(held)
+                    held = []
+                held.append(row)
+        if held:
+            yield from work(held)
+
+    return run
+
+
+def _matrix_live(blocks: list[dict]) -> Iterator[pa.RecordBatch]:
+    """How many of a document's tokens other groups have too; documents without any are left out."""
+    token, uid, comp, _, _, new_token = _columns(blocks)
+    first = np.flatnonzero(new_token)
+    size = np.diff(np.append(first, len(token)))
+    shared = comp[first] != comp[first + size - 1]  # groups ascend within a token
+    own, n = np.unique(uid[np.repeat(shared, size)], return_counts=True)
+    yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(n)], ["uid", "live"])
+
+
 def _matrix_lookup(percent: int, slice_pairs: int = 2_000_000):
     """For each bucket of tokens: (document, group, shared tokens, sizes met) where sizes allow a link and the group isn't its own."""
 
     def pairs_of(blocks: list[dict]) -> Iterator[pa.RecordBatch]:
-        token = np.concatenate([np.frombuffer(b["token"], np.uint64) for b in blocks])
-        uid, comp, n = (np.concatenate([np.frombuffer(b[c], t)[np.frombuffer(b["owner"], np.int32)] for b in blocks]) for c, t in (("uid", np.int64), ("comp", np.int64), ("n", np.int32)))
-        at = np.lexsort((comp, token))
-        token, uid, comp, n = token[at], uid[at], comp[at], n[at].astype(np.int64)
-        new_token = np.append(True, token[1:] != token[:-1])
+        token, uid, comp, n, free, new_token = _columns(blocks)
         new_group = new_token | np.append(True, comp[1:] != comp[:-1])
         # the matrix: one entry for each token and group, with the sizes of the members that have the token
         first = np.flatnonzero(new_group)
-        low, high = np.minimum.reduceat(n, first), np.maximum.reduceat(n, first)
+        low, high, reach = np.minimum.reduceat(n, first), np.maximum.reduceat(n, first), np.maximum.reduceat(free, first)
         entry = np.cumsum(new_group) - 1
         row_first = entry[np.flatnonzero(new_token)][np.cumsum(new_token) - 1]  # a token's first entry
         before = entry - row_first  # groups of smaller number in the same row
@@ -193,6 +232,8 @@ def _matrix_lookup(percent: int, slice_pairs: int = 2_000_000):
             q = np.repeat(own, before[own])
             g = row_first[q] + _steps(before[own])
             fits = (n[q] * percent <= high[g] * 100) & (low[g] * percent <= n[q] * 100)
+            least = np.maximum(low[g], -(-n[q] * percent // 100))
+            fits &= np.minimum(free[q], reach[g]) * (100 + percent) >= percent * (n[q] + least)
             q, g, small, large = uid[q[fits]], comp[first[g[fits]]], low[g[fits]], high[g[fits]]
             if len(q):
                 at = np.lexsort((g, q))
@@ -202,18 +243,7 @@ def _matrix_lookup(percent: int, slice_pairs: int = 2_000_000):
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["q", "g", "shared", "low", "high"])
             a = b
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[dict] = []
-        for batch in batches:
-            for row in batch.to_pylist():
-                if held and held[-1]["bucket"] != row["bucket"]:
-                    yield from pairs_of(held)
-                    held = []
-                held.append(row)
-        if held:
-            yield from pairs_of(held)
-
-    return run
+    return _by_bucket(pairs_of)
 
 
 def _opened(percent: int):
@@ -316,9 +346,14 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     # the matrix, and what it nominates
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     buckets = max(n, int(total * 0.2 / 1_000_000))
+    deal = lambda df: df.mapInArrow(_matrix_blocks(buckets), BLOCKS).repartition(n, "bucket").sortWithinPartitions("bucket")
     with_group = join_sized(reps.select("uid", "n", "prefix"), own_group, ["uid"], "inner", 24)
-    blocks = with_group.mapInArrow(_matrix_blocks(buckets), "bucket long, token binary, owner binary, uid binary, comp binary, n binary")
-    found = blocks.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(_matrix_lookup(percent), "q long, g long, shared long, low long, high long")
+    live = deal(with_group.withColumn("free", F.col("n"))).mapInArrow(_by_bucket(_matrix_live), "uid long, live long").groupBy("uid").agg(F.sum("live").alias("live"))
+    live = materialise(live, "live-tokens")
+    # of the prefix only the live tokens can be shared with another group
+    bounded = join_sized(with_group, live, ["uid"], "inner", 24).withColumn("free", F.col("n") - F.octet_length("prefix") / 8 + F.col("live"))
+    bounded = bounded.where(F.col("free") >= F.ceil(F.col("n") * percent / F.lit(100))).select("uid", "n", "prefix", "comp", F.col("free").cast("long").alias("free"))
+    found = deal(bounded).mapInArrow(_matrix_lookup(percent), "q long, g long, shared long, low long, high long")
     sums = found.groupBy("q", "g").agg(F.sum("shared").alias("shared"), F.min("low").alias("low"), F.max("high").alias("high"))
     sizes = owners.where("uid = rep").select(F.col("uid").alias("q"), "n")
     asks = materialise(sums.join(sizes, "q").where(F.col("shared") >= needed(F.col("n"), F.col("low"), F.col("high"), percent)).select("q", "g"), "asks")
