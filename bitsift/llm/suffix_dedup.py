@@ -6,7 +6,8 @@ A byte goes if it lies in a string of LENGTH bytes that also starts earlier
 1. Sampling.  A suffix is sampled at each place whose hash of K bytes is the
    smallest of LENGTH - K + 1 places in a row; so every string of LENGTH bytes
    holds a sampled place, at the same offset in all its occurrences.  Places
-   whose K bytes occur once can't be in a repeated string and are dropped.
+   whose K bytes occur once can't be in a repeated string and are dropped; one bit
+   for each sampled place of a document tells which stay.
 2. Runs.  Each task sorts its sampled suffixes (LENGTH bytes to the right; the
    LENGTH - K bytes to the left ride along).  Suffixes equal on both sides
    collapse to the earliest: the others are repeats of it.  A run is dealt out by
@@ -88,6 +89,7 @@ def _sample_blocks(buckets: int):
             if not found:
                 continue
             gram, text, place = (np.concatenate(x) for x in zip(*found, strict=True))
+            place = np.arange(len(text)) - np.searchsorted(text, text)  # the number of the sampled place in its text
             bucket = (mix(gram + np.uint64(1)) % np.uint64(buckets)).astype(np.int64)
             at = np.argsort(bucket, kind="stable")
             gram, text, place, bucket = gram[at], text[at], place[at], bucket[at]
@@ -120,7 +122,7 @@ def _by_bucket(batches: Iterator[pa.RecordBatch], work) -> Iterator[pa.RecordBat
 
 
 def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Places whose first K bytes occur again, by document."""
+    """Numbers of the sampled places whose first K bytes occur again, by document."""
 
     def work(blocks: list[dict]) -> Iterator[pa.RecordBatch]:
         gram = np.concatenate([np.frombuffer(b["gram"], np.uint64) for b in blocks])
@@ -138,6 +140,18 @@ def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     return _by_bucket(batches, work)
 
 
+def _masks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One bit for each sampled place, from lists of numbers."""
+    for batch in batches:
+        out = []
+        for lists in batch.column("places").to_pylist():
+            at = np.concatenate([np.frombuffer(x, np.int32) for x in lists])
+            bits = np.zeros(at.max() + 1, np.uint8)
+            bits[at] = 1
+            out.append(np.packbits(bits).tobytes())
+        yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("h"), pa.array(out, pa.binary())], ["id", "h", "mask"])
+
+
 def common_prefix(a: bytes, b: bytes, known: int = 0) -> int:
     """Length of the common prefix, of which ``known`` bytes aren't looked at."""
     n = min(len(a), len(b))
@@ -187,6 +201,8 @@ def loser_tree(runs: list[Iterator[tuple]]) -> Iterator[tuple]:
     are compared, from there on.  The loser keeps what it shares with the winner.
     """
     n = len(runs)
+    if not n:
+        return
     heads: list[tuple | None] = [next(r, None) for r in runs]
     shared = [0] * n
 
@@ -230,14 +246,23 @@ def loser_tree(runs: list[Iterator[tuple]]) -> Iterator[tuple]:
 
 
 def _runs(buckets: int, length: int = LENGTH, k: int = K):
-    """Sorted, front-coded runs of a batch by bucket (kind 0), and spans that repeat an earlier one of the batch (kind 1)."""
+    """Sorted, front-coded runs of a batch by bucket (id null), and spans of a document that repeat an earlier one of the batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             parts: dict[int, list] = {}
-            for text, i, h, lists in zip(*(batch.column(c).to_pylist() for c in ("text", "id", "h", "places")), strict=True):
-                raw = text.encode()
-                for p in np.unique(np.concatenate([np.frombuffer(x, np.int32) for x in lists])).tolist():
+            ids, keys, masks = (batch.column(c).to_pylist() for c in ("id", "h", "mask"))
+            for base, raws in chunks(batch.column("text").to_pylist()):
+                _, text, place = sampled(raws, length, k)
+                number = np.arange(len(text)) - np.searchsorted(text, text)
+                bits = [np.unpackbits(np.frombuffer(m, np.uint8)) for m in masks[base : base + len(raws)]]
+                offset = np.cumsum([0, *map(len, bits)])
+                whole = np.concatenate(bits)
+                inside = number < np.diff(offset)[text]
+                text, place, number = text[inside], place[inside], number[inside]
+                again = whole[offset[text] + number] == 1
+                for t, p in zip(text[again].tolist(), place[again].tolist(), strict=True):
+                    raw, i, h = raws[t], ids[base + t], keys[base + t]
                     right = raw[p : p + length]
                     part = int.from_bytes(hashlib.blake2b(right[:k], digest_size=8).digest(), "big") % buckets
                     parts.setdefault(part, []).append((right, raw[max(0, p - length + k) : p], i, h, p))
@@ -259,7 +284,7 @@ def _runs(buckets: int, length: int = LENGTH, k: int = K):
             keys = list(spans)
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array(names + [-1] * len(keys), pa.int64()), pa.array(blobs + [_packed(spans[x]) for x in keys], pa.binary()),
+                    pa.array(names + [x[1] % buckets for x in keys], pa.int64()), pa.array(blobs + [_packed(spans[x]) for x in keys], pa.binary()),
                     pa.array([None] * n + [x[0] for x in keys], pa.int64()), pa.array([None] * n + [x[1] for x in keys], pa.int64()),
                 ],
                 ["bucket", "blob", "id", "h"],
@@ -314,7 +339,10 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     spans.setdefault((i, h), []).append((a, b))
             group.clear()
 
-        for n, *entry in loser_tree([front_decode(b["blob"]) for b in blocks]):
+        for b in blocks:
+            if b["id"] is not None:  # spans that are known already
+                spans.setdefault((b["id"], b["h"]), []).extend(map(tuple, np.frombuffer(b["blob"], np.int32).reshape(-1, 2).tolist()))
+        for n, *entry in loser_tree([front_decode(b["blob"]) for b in blocks if b["id"] is None]):
             if n < K:
                 close()
             group.append(tuple(entry))
@@ -341,6 +369,12 @@ def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("orig"), *(pa.array(c, pa.int64()) for c in out[:3]), *(pa.array(c, pa.string()) for c in out[3:])], ["id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text"])
 
 
+def _weight(df: DataFrame, size) -> tuple[int, int]:
+    """(bytes of a row, rows) of a materialised table."""
+    rows, total = df.agg(F.count("*"), F.sum(size)).first()
+    return 100 + (total or 0) // max(1, rows), rows
+
+
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: id, n_bytes, n_removed, n_spans, kept_sha256, kept_text (broken characters replaced)."""
     spark = docs.sparkSession
@@ -360,17 +394,15 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     buckets = max(n, int(total / 30 / 2_000_000))
     blocks = once.select("id", "h", "text").mapInArrow(_sample_blocks(buckets), "bucket long, gram binary, owner binary, place binary, ids binary, hs binary")
     again = blocks.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(_repeated, "id long, h long, places binary")
-    places = materialise(again.groupBy("id", "h").agg(F.collect_list("places").alias("places")), "places")
-    weight = places.agg(F.count("*"), F.sum(F.aggregate("places", F.lit(0).cast("long"), lambda s, x: s + F.octet_length(x)))).first()
-    row_bytes = 120 + (weight[1] or 0) // max(1, weight[0])
+    masks = again.groupBy("id", "h").agg(F.collect_list("places").alias("places")).mapInArrow(_masks, "id long, h long, mask binary")
+    masks = materialise(masks, "places")
     # runs and their merge
-    placed = join_sized(once.select("id", "h", "text"), places, ["id", "h"], "inner", row_bytes, weight[0])
-    runs = materialise(placed.mapInArrow(_runs(buckets), "bucket long, blob binary, id long, h long"), "runs")
-    dealt = runs.where("bucket >= 0").select("bucket", "blob").repartition(n, "bucket").sortWithinPartitions("bucket")
-    spans = dealt.mapInArrow(_merge, "id long, h long, spans binary").unionByName(runs.where("bucket < 0").select("id", "h", F.col("blob").alias("spans")))
+    placed = join_sized(once.select("id", "h", "text"), masks, ["id", "h"], "inner", *_weight(masks, F.octet_length("mask")))
+    runs = placed.mapInArrow(_runs(buckets), "bucket long, blob binary, id long, h long")
+    spans = runs.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(_merge, "id long, h long, spans binary")
     spans = materialise(spans.groupBy("id", "h").agg(F.collect_list("spans").alias("spans")), "spans")
-    weight = spans.agg(F.count("*"), F.sum(F.aggregate("spans", F.lit(0).cast("long"), lambda s, x: s + F.octet_length(x)))).first()
-    full = join_sized(marked, spans, ["id", "h"], "left", 120 + (weight[1] or 0) // max(1, weight[0]), weight[0])
+    size = F.aggregate("spans", F.lit(0).cast("long"), lambda s, x: s + F.octet_length(x))
+    full = join_sized(marked, spans, ["id", "h"], "left", *_weight(spans, size))
     return full.select("orig", "text", "copy", "spans").mapInArrow(_kept, "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_text string")
 
 
