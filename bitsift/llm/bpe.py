@@ -91,7 +91,7 @@ class Encoder:
     """Ranks of a vocabulary, and the prefix tables over pieces."""
 
     #: Pieces whose encoding is held at a time, twice.
-    CACHE = 150_000
+    CACHE = 75_000
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.ranks = ranks
@@ -197,7 +197,7 @@ class Encoder:
                     a = nxt
                 else:
                     b = nxt
-        if len(self.pairs) > 500_000:
+        if len(self.pairs) > 200_000:
             self.pairs.clear()
         self.pairs[key] = good
         return good
@@ -383,6 +383,10 @@ class Encoder:
                     back = self.decoded(out)
                 yield out, back
 
+    def forget(self) -> None:
+        """Drops what was held for speed, so that an idle worker keeps little more than the vocabulary."""
+        self.young, self.old, self.pairs = {}, {}, {}
+
     def decoded(self, decimal: str) -> bytes:
         return b"".join(map(self.names.__getitem__, decimal.split(","))) if decimal else b""
 
@@ -447,6 +451,7 @@ def _round_trip(docs: DataFrame, path: str, pattern: str, id_col: str, text_col:
                     lists.append(np.array(ids.split(",") if ids else [], np.int32))
             columns = [batch.column("id"), pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())]
             yield pa.RecordBatch.from_arrays(columns + [pa.array(lists, pa.list_(pa.int32()))] * with_ids, names)
+        own.forget()
 
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", token_ids array<int>" * with_ids
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, schema)

@@ -99,7 +99,7 @@ class Model:
                     break
             else:
                 held = 0.0
-        if len(self.cache) > 200_000:
+        if len(self.cache) > 100_000:
             self.cache.clear()
         self.cache[word] = held
         return held
@@ -299,5 +299,6 @@ def reject(docs: DataFrame, model: Model, threshold: float = 0.5, text_col: str
         own = shared.value
         for batch in batches:
             yield batch.filter(pa.array([own.score(*own.features(words_of(t))[:2]) < threshold for t in batch.column(at).to_pylist()], pa.bool_()))
+        own.cache.clear()
 
     return docs.mapInArrow(run, docs.schema)
