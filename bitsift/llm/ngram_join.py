@@ -10,12 +10,13 @@ short prefixes in which two similar sets must meet.
 2. Similar documents are put into groups: minhash bands nominate a leader for
    each document, a leader's link is verified, and the linked ones are a group.
 3. The matrix holds, for each token of the members' prefixes, the groups whose
-   union has it, with their range of set sizes.  Tokens of one group only can't be
-   shared with another; they bound what a document can share at all, and most
-   documents fall out here.  The others look their prefixes up: a group is a
-   candidate only if the bounds of both sides allow the overlap that their sizes
-   ask for, and enough tokens meet.  Documents of one group are connected already,
-   so no pairs inside it are made.
+   union has it, with their range of set sizes.  Documents whose prefix tokens are
+   all of one group only fall out here.  The others look their prefixes up.  Prefix
+   tokens in no other group's prefix can't be shared with a set whose prefix ends no
+   earlier, so the larger bound of two sets holds for their overlap: a group is a
+   candidate only if it allows the overlap that their sizes ask for, and enough
+   tokens meet.  Documents of one group are connected already, so no pairs inside
+   it are made.
 4. A candidate group is opened by parts of at most GROUP members: the overlap
    with the part's token union bounds that with any member; only where the bound
    reaches the threshold are members counted, exactly.
@@ -112,7 +113,7 @@ def _sets(k: int, order, seeds: np.ndarray, percent: int):
                     keys = []
                     if len(s):
                         least = [int(mix(s ^ seed).min()) for seed in seeds]
-                        keys = [hash((b, *least[b * ROWS : b * ROWS + ROWS])) for b in range(BANDS)]
+                        keys = [hash((b, *least[b * ROWS : b * ROWS + ROWS])) for b in range(len(seeds) // ROWS)]
                         sums = (int(s.sum(dtype=np.uint64)), int(mix(s + np.uint64(77)).sum(dtype=np.uint64)))
                     else:
                         sums = (0, 0)
@@ -233,7 +234,8 @@ def _matrix_lookup(percent: int, slice_pairs: int = 2_000_000):
             g = row_first[q] + _steps(before[own])
             fits = (n[q] * percent <= high[g] * 100) & (low[g] * percent <= n[q] * 100)
             least = np.maximum(low[g], -(-n[q] * percent // 100))
-            fits &= np.minimum(free[q], reach[g]) * (100 + percent) >= percent * (n[q] + least)
+            # of two sets, only the free count of the one whose prefix ends first bounds the overlap; the larger count holds for both
+            fits &= np.maximum(free[q], reach[g]) * (100 + percent) >= percent * (n[q] + least)
             q, g, small, large = uid[q[fits]], comp[first[g[fits]]], low[g[fits]], high[g[fits]]
             if len(q):
                 at = np.lexsort((g, q))
@@ -319,15 +321,15 @@ def _links(asks: DataFrame, members: DataFrame, texts: DataFrame, owners: DataFr
     return materialise(dealt.mapInArrow(_opened(percent), "a long, b long"), "links")
 
 
-def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 4, percent: int = 85) -> DataFrame:
-    """One row per input row: id, n_shingles, component_id (smallest id that links reach, its own included)."""
+def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 4, percent: int = 85, bands: int = BANDS) -> DataFrame:
+    """One row per input row: id, n_shingles, component_id (smallest id that links reach, its own included).  Any number of bands gives the same rows."""
     spark = docs.sparkSession
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("h"), F.col(text_col).alias("text"))
     counts = materialise(texts.select("text").mapInArrow(_counts(k), "token long, n long").groupBy("token").agg(F.sum("n").alias("n")), "shingle-counts")
     total = (counts.where("token IS NULL").first() or {"n": 0})["n"]
     frequent = [r["token"] for r in counts.where(F.col("token").isNotNull() & (F.col("n") >= 6)).orderBy(F.desc("n"), "token").limit(FREQUENT).select("token").collect()][::-1]
     order = spark.sparkContext.broadcast(Order(np.array(frequent, np.int64).astype(np.uint64)))
-    seeds = mix(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64))
+    seeds = mix(np.arange(1, bands * ROWS + 1, dtype=np.uint64))
     sets = materialise(texts.mapInArrow(_sets(k, order, seeds, percent), "id long, h long, uid long, n long, sig1 long, sig2 long, keys array<long>, prefix binary"), "shingle-sets")
 
     # equal sets have one representative
@@ -350,9 +352,10 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     with_group = join_sized(reps.select("uid", "n", "prefix"), own_group, ["uid"], "inner", 24)
     live = deal(with_group.withColumn("free", F.col("n"))).mapInArrow(_by_bucket(_matrix_live), "uid long, live long").groupBy("uid").agg(F.sum("live").alias("live"))
     live = materialise(live, "live-tokens")
-    # of the prefix only the live tokens can be shared with another group
+    # of the prefix only the live tokens can be shared with a set of another group whose prefix ends no earlier; one that
+    # ends earlier may hold the others past its end, so a low count alone rules nothing out
     bounded = join_sized(with_group, live, ["uid"], "inner", 24).withColumn("free", F.col("n") - F.octet_length("prefix") / 8 + F.col("live"))
-    bounded = bounded.where(F.col("free") >= F.ceil(F.col("n") * percent / F.lit(100))).select("uid", "n", "prefix", "comp", F.col("free").cast("long").alias("free"))
+    bounded = bounded.select("uid", "n", "prefix", "comp", F.col("free").cast("long").alias("free"))
     found = deal(bounded).mapInArrow(_matrix_lookup(percent), "q long, g long, shared long, low long, high long")
     sums = found.groupBy("q", "g").agg(F.sum("shared").alias("shared"), F.min("low").alias("low"), F.max("high").alias("high"))
     sizes = owners.where("uid = rep").select(F.col("uid").alias("q"), "n")

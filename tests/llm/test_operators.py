@@ -232,6 +232,22 @@ def test_ngram_join(spark, seed):
     assert {r["doc_id"] for r in ngram_join.keep_one(docs_of(spark, own)).collect()} == {i for i, (_, c) in want.items() if c == i}
 
 
+@pytest.mark.parametrize("extra", [10, 15])
+def test_ngram_join_contained(spark, extra):
+    """Sets contained in larger ones whose own shingles are rare, without bands: only the matrix can find these links."""
+    own = []
+    for f in range(12):
+        common = [f"c{f}x{j}" for j in range(103 - extra)]  # 100 - extra shingles of 4 words
+        rare = [f"r{f}x{j}" for j in range(extra)]
+        own += [" ".join(common), " ".join(common + rare)]
+        own += [" ".join(common[:-40] + [f"o{f}x{i}x{j}" for j in range(60)]) for i in range(5)]  # makes most common shingles frequent
+    want = ngram_join.brute_force(list(enumerate(own)))
+    assert all(want[7 * f + 1][1] == 7 * f for f in range(12))
+    for bands in (0, ngram_join.BANDS):
+        got = {r["id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.ngram_components(docs_of(spark, own), bands=bands).collect()}
+        assert got == want
+
+
 def test_ngram_join_edges(spark):
     docs = docs_of(spark, ["a b c d e", "A b c  d e", None]).unionByName(docs_of(spark, ["a b c d e"]).withColumn("doc_id", F.lit(None).cast("long")))
     got = sorted(tuple(r) for r in ngram_join.ngram_components(docs.unionByName(docs.where("doc_id = 0"))).where("id is not null").collect())
