@@ -1,8 +1,9 @@
 """Corpus clean-up over ``documents``: five stages, each written as Parquet and read again by the next.
 
 toxicity: documents scored 0.5 or more go.  exact_dedup: of equal texts the
-longest, then the smallest id stays.  ngram_join: of each component of similar
-documents the smallest id stays.  decontaminate: documents that hold a benchmark
+longest, then the smallest id stays.  ngram_join: of each component of documents
+whose sets of five-word shingles have a Jaccard similarity of 0.8 or more the
+smallest id stays.  decontaminate: documents that hold a benchmark
 window go.  bpe: encodes what is left and decodes it again.  All stages but the
 last return the columns of ``documents``; a text without content has nothing to
 be dropped for, but equals other such texts.
@@ -27,7 +28,7 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return ngram_join.keep_one(docs)
+    return ngram_join.keep_one(docs, k=5, percent=80)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -42,6 +42,19 @@ def test_stages(spark, sf_dir, tmp_path):
         assert r["token_ids"] == own.encode(left[i] or "") and r["decoded_sha256"] == hashlib.sha256((left[i] or "").encode()).hexdigest()
 
 
+def test_near_copies_by_five_words(spark):
+    """Ten of 454 words replaced: 400 of 500 five-word shingles are shared, but only 411 of 491 four-word ones (under 0.85)."""
+    words = [f"w{i}" for i in range(454)]
+    other = [f"z{i}" if i % 40 == 20 and i < 400 else w for i, w in enumerate(words)]
+    far = [f"z{i}" if i % 40 == 20 else w for i, w in enumerate(words)]
+    rows = [(1, " ".join(words)), (2, " ".join(other)), (3, " ".join(f"v{w}" for w in words)), (4, " ".join(f"v{w}" for w in far)), (5, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"] for r in corpus_pipeline.drop_near_copies(spark, docs, "").collect()}
+    want = {i for i, (_, c) in ngram_join.brute_force(rows, k=5, percent=80).items() if i == c}
+    assert got == want == {1, 3, 4, 5}
+    assert {i for i, (_, c) in ngram_join.brute_force(rows).items() if i == c} == {1, 2, 3, 4, 5}
+
+
 def test_names():
     numbers = sorted(int(n[2:].split("_")[0]) for n in QUERIES)
     assert numbers == list(range(1, 11)) and set(ORACLES) <= set(QUERIES)
