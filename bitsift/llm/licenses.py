@@ -1,8 +1,9 @@
 """License scans by an exact set-similarity join; DataFrame functions only.
 
-A block is a line of a text, a template the text of a license notice; both are
-sets of words.  A block meets a template if it holds at least ``containment`` of
-the template's words.  Tokens are ordered by their frequency over all documents
+A block is a run of lines that aren't blank, a template the text of a license
+notice; both are sets of words.  A block meets a template if one line of it, or a
+window of as many words as the template's text has, wherever the lines break, holds
+at least ``containment`` of the template's words.  Tokens are ordered by their frequency over all documents
 (counted for the words of templates; no other word takes part in an overlap), the
 rarest first.  With T a template's size and need = ceil(containment * T):
 
@@ -10,7 +11,7 @@ rarest first.  With T a template's size and need = ceil(containment * T):
 * length filter: the block has at least ``need`` distinct words;
 * positional filter: from the first shared word on, what is left of the template
   in this order reaches ``need``;
-* verification: the exact overlap.
+* verification: the exact overlap, with the block, then with its lines and windows.
 
 Texts without any prefix word are passed over before they're cut into blocks.
 Templates are a parameter of fixed size, so their tables are broadcast; matches
@@ -57,6 +58,8 @@ TEMPLATES = [
     ("mpl", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0"),
 ]
 CONTAINMENT = 0.9
+#: What parts two blocks: a line that is empty or of white space.
+PARTING = r"\n[\x20\x09\x0B-\x0D]*\n"
 
 
 def words(text: Column) -> Column:
@@ -64,8 +67,12 @@ def words(text: Column) -> Column:
     return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", -1), lambda w: w != "")
 
 
+def word_run(text: str) -> list[str]:
+    return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", text.lower())
+
+
 def template_words(text: str) -> list[str]:
-    return sorted(set(re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", text.lower())))
+    return sorted(set(word_run(text)))
 
 
 def need_of(size: int, containment: float) -> int:
@@ -81,25 +88,36 @@ def frequencies(docs: DataFrame, text_col: str, vocabulary: list[str]) -> dict[s
 def matches(docs: DataFrame, id_col: str, text_col: str, templates: list[tuple[str, str]], containment: float) -> DataFrame:
     """(id, text_hash, block, label, containment) for every block that meets a template."""
     spark = docs.sparkSession
-    sets = {(label, tuple(template_words(text))) for label, text in templates if template_words(text)}
+    sets: dict[tuple, int] = {}
+    for label, text in templates:
+        if ws := tuple(template_words(text)):
+            sets[label, ws] = max(sets.get((label, ws), 0), len(word_run(text)))
     if not sets:
         return spark.createDataFrame([], "id long, text_hash long, block int, label string, containment double")
     counted = frequencies(docs, text_col, sorted({w for _, ws in sets for w in ws}))
     rank = {w: i for i, w in enumerate(sorted({w for _, ws in sets for w in ws}, key=lambda w: (counted.get(w, 0), w)))}
     rows = []
-    for number, (label, ws) in enumerate(sorted(sets)):
+    for number, ((label, ws), length) in enumerate(sorted(sets.items())):
         ordered, need = sorted(ws, key=rank.__getitem__), need_of(len(ws), containment)
-        rows += [(w, at, number, label, ordered, need, len(ws)) for at, w in enumerate(ordered[: len(ws) - need + 1])]
-    index = F.broadcast(spark.createDataFrame(rows, "word string, at int, template int, label string, tokens array<string>, need int, size int"))
+        rows += [(w, at, number, label, ordered, need, len(ws), length) for at, w in enumerate(ordered[: len(ws) - need + 1])]
+    index = F.broadcast(spark.createDataFrame(rows, "word string, at int, template int, label string, tokens array<string>, need int, size int, length int"))
     prefix = F.array(*[F.lit(w) for w in sorted({r[0] for r in rows})])
     text = F.coalesce(F.col(text_col), F.lit(""))
     hit = docs.select(F.col(id_col).cast("long").alias("id"), text.alias("text")).where(F.arrays_overlap(words(F.col("text")), prefix))
-    blocks = hit.select("id", F.xxhash64("text").alias("text_hash"), F.posexplode(F.split("text", "\n", -1)).alias("block", "line"))
-    blocks = blocks.select("id", "text_hash", "block", F.array_distinct(words(F.col("line"))).alias("own"))
+    # a run of lines with words is one block; a line without any parts two
+    blocks = hit.select("id", F.xxhash64("text").alias("text_hash"), F.posexplode(F.split("text", PARTING, -1)).alias("block", "lines"))
+    blocks = blocks.select("id", "text_hash", "block", "lines", F.array_distinct(words(F.col("lines"))).alias("own"))
     probes = blocks.withColumn("word", F.explode(F.array_intersect("own", prefix)))
     paired = probes.join(index, "word").where((F.size("own") >= F.col("need")) & (F.col("size") - F.col("at") >= F.col("need")))
     shared = F.size(F.array_intersect("own", "tokens"))
-    met = paired.withColumn("shared", shared).where(F.col("shared") >= F.col("need"))
+    able = paired.where(shared >= F.col("need"))
+    # within the block the words must stand on one line, or in a window as long as the template's text
+    overlap = lambda own: F.size(F.array_intersect(own, F.col("tokens")))
+    by_line = F.array_max(F.transform(F.split("lines", "\n", -1), lambda line: overlap(words(line))))
+    starts = lambda run: F.sequence(F.lit(0), F.greatest(F.size(run) - F.col("length"), F.lit(0)))
+    windows = lambda run: F.array_max(F.transform(starts(run), lambda i: overlap(F.slice(run, i + 1, F.col("length")))))
+    by_window = F.transform(F.array(words(F.col("lines"))), windows)[0]  # the words are cut once, as the lambda's argument
+    met = able.withColumn("shared", F.greatest(by_line, by_window)).where(F.col("shared") >= F.col("need"))
     return met.groupBy("id", "text_hash", "block", "template").agg(F.first("label").alias("label"), F.max(F.col("shared") / F.col("size")).alias("containment")).drop("template")
 
 
@@ -134,7 +152,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", phrase
 
 
 def oracle_sql(phrases: dict[str, str] = PHRASES, templates: list[tuple[str, str]] = TEMPLATES, containment: float = CONTAINMENT) -> str:
-    """The same rows in DuckDB's SQL, by plain comparison of every line with every template."""
+    """The rows in DuckDB's SQL, by plain comparison of every line with every template: the same where no notice is wrapped."""
     word = r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'"
     low = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
     phrase_rows = ", ".join(f"({p.split(' ')!r}, {label!r})" for p, label in phrases.items())

@@ -4,6 +4,7 @@ import base64
 import hashlib
 import random
 import re
+import textwrap
 from collections import defaultdict
 
 import pytest
@@ -131,6 +132,22 @@ def test_licenses(spark, rows):
     assert licenses.scan(docs, templates=[]).where("labels <> base_labels").count() == 0
 
 
+def test_licenses_wrapped(spark):
+    """Notices that are wrapped over lines count; words that are parted by a blank line, or stand far apart, don't."""
+    own, want = [], []
+    for label, template in licenses.TEMPLATES:
+        for width in (20, 40, 80):
+            own += [f"Some code.\n\n{textwrap.fill(template, width)}\nand more of it", textwrap.fill(template, width, initial_indent=" * ", subsequent_indent=" * ")]
+            want += [{label}] * 2
+    bsd = licenses.TEMPLATES[1][1].split()
+    own += [" ".join(bsd[:10]) + "\n \n" + " ".join(bsd[10:]), "\n".join(" ".join([w, *["filler"] * 30]) for w in bsd), None]
+    want += [set()] * 3
+    got = {r["id"]: r for r in licenses.scan(docs_of(spark, own)).collect()}
+    for i, labels in enumerate(want):
+        assert labels <= set(got[i]["labels"].split(",")) and (labels or got[i]["labels"] == "" and got[i]["score"] == 0)
+        assert not labels or got[i]["score"] == 1
+
+
 def test_bpe(spark, rows):
     tiktoken = pytest.importorskip("tiktoken")
     path, pattern = tokenizer()
