@@ -1,9 +1,10 @@
 """Main text of web pages by composite text density.
 
 A page is parsed into a tree (unclosed and misnested tags are closed as browsers
-do; scripts, styles and other raw elements have no text).  Subtrees that name
-themselves as other than the article -- by element, role, class or id -- are cut.
-Of what is left, each node has C characters and T tags, of these LC and LT in
+do; scripts, styles and other raw elements have no text).  Subtrees that show
+themselves as other than the article by element or role are cut; so are those whose
+class or id is wholly made of such names, unless they are headings, sections named
+by a topic, or hold most of the page's text and all its articles (other than comments).  Of what is left, each node has C characters and T tags, of these LC and LT in
 links; its composite density (Sun, Song and Liao, 2011) is
 
     C/T * log(C/LC * T/LT) / log(ln(C/(C - LC) * LC + LCb/Cb * C + e))
@@ -57,6 +58,12 @@ CUT_NAMES = frozenset(
     "comment comments commentlist respond replies disqus discussion sidebar sidebars menu navbar nav navigation breadcrumb breadcrumbs share sharing social related recommended "
     "newsletter subscribe subscription popup modal overlay footer masthead pagination pager widget widgets login signup search toolbar paywall".split()
 )
+#: Words that only say where or in what form a thing of CUT_NAMES stands: "ad-slot-2" is cut, "related-work" isn't.
+FORM_NAMES = frozenset("area bar block body bottom box btn button buttons container count form group header icons inner item items left link links list mobile module outer panel post posts right section site slot stories title top unit wrap wrapper".split())
+#: Of CUT_NAMES, those that sections of an article bear as their topic, and those that may well outweigh the article.
+TOPICS = frozenset("advert adverts advertisement advertising sponsor sponsors promotion banner cookie cookies consent gdpr notice notices replies discussion menu navigation breadcrumbs share sharing social related recommended newsletter subscription search".split())
+COMMENTS = frozenset("comment comments commentlist respond replies disqus discussion".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 KEEP = frozenset(("html", "body", "main"))
 
 
@@ -65,7 +72,7 @@ def attributes(raw: str) -> dict[str, str]:
 
 
 def is_cut(tag: str, attrs: dict[str, str], inside_article: bool) -> bool:
-    """Whether an element names itself as something else than the article."""
+    """Whether an element shows itself as something else than the article by element, role or being hidden."""
     if tag in KEEP:
         return False
     if tag in CUT_TAGS or tag == "header" and not inside_article:
@@ -74,18 +81,23 @@ def is_cut(tag: str, attrs: dict[str, str], inside_article: bool) -> bool:
         return False
     if "hidden" in attrs or attrs.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", attrs.get("style", ""), re.I):
         return True
-    if attrs.get("role", "").lower() in CUT_ROLES:
-        return True
+    return attrs.get("role", "").lower() in CUT_ROLES
+
+
+def cut_names(tag: str, attrs: dict[str, str], inside_article: bool) -> set[str]:
+    """The words of class and id that name an element as something else than the article; every word of such a name must do so or be of FORM_NAMES."""
+    found: set[str] = set()
+    if not attrs or tag in KEEP or tag in HEADINGS:
+        return found
+    able = CUT_NAMES - TOPICS if tag == "section" else CUT_NAMES if inside_article else CUT_NAMES | {"header"}
     for name in (attrs.get("class", "") + " " + attrs.get("id", "")).lower().split():
-        if name in CUT_NAMES:
-            return True
-        if tag != "article":
-            parts = [p for p in re.split(r"[^a-z0-9]+", name) if p]
-            if parts and parts[0] not in ("has", "with", "no", "without", "not") and (CUT_NAMES & {parts[0], parts[-1]}):
-                return True
-            if "header" in parts and not inside_article:
-                return True
-    return False
+        if name in able:
+            found.add(name)
+        elif tag != "article":
+            parts = {p for p in re.split(r"[^a-z0-9]+", name) if p and not p.isdigit()}
+            if parts <= able | FORM_NAMES:
+                found |= parts & able
+    return found
 
 
 class Page:
@@ -93,6 +105,7 @@ class Page:
 
     def __init__(self, source: str):
         self.tag, self.parent, self.cut = ["#root"], [-1], [False]
+        self.named: dict[int, set[str]] = {}
         self.pieces: list[tuple[int, str]] = []
         stack, at, end = [0], 0, len(source)
         articles = 0
@@ -129,7 +142,10 @@ class Page:
             node = len(self.tag)
             self.tag.append(name)
             self.parent.append(stack[-1])
-            self.cut.append(self.cut[stack[-1]] or is_cut(name, attributes(m[3] or m[6] or ""), articles > 0))
+            attrs = attributes(m[3] or m[6] or "")
+            self.cut.append(self.cut[stack[-1]] or is_cut(name, attrs, articles > 0))
+            if not self.cut[node] and (names := cut_names(name, attrs, articles > 0)):
+                self.named[node] = names
             if name not in INLINE:
                 self.pieces.append((stack[-1], " "))
             if name in RAW:
@@ -140,6 +156,24 @@ class Page:
             elif name not in VOID:
                 stack.append(node)
                 articles += name == "article"
+        if self.named:
+            self._cut_named()
+
+    def _cut_named(self) -> None:
+        """Cuts what has the name of something else; not what has most of the text and all articles, unless by the name of comments."""
+        n = len(self.tag)
+        chars, articles = [0] * n, [0] * n
+        for node, text in self.pieces:
+            if not self.cut[node]:
+                chars[node] += sum(map(len, text.split()))
+        for i in range(n - 1, 0, -1):
+            articles[i] += chars[i] > 0 and self.tag[i] in ("article", "main")
+            chars[self.parent[i]] += chars[i]
+            articles[self.parent[i]] += articles[i]
+        for i in range(1, n):
+            names = self.named.get(i, ())
+            wrapper = 2 * chars[i] > chars[0] and articles[i] == articles[0] and COMMENTS.isdisjoint(names)
+            self.cut[i] = self.cut[i] or self.cut[self.parent[i]] or bool(names) and not wrapper
 
     def _close(self, stack: list[int], names: tuple[str, ...]) -> None:
         """Closes open elements of these names, up to the nearest scope."""

@@ -183,6 +183,19 @@ def test_html_text():
     assert html_text.main_text("<div>" * 20000 + "deep") == "deep"
 
 
+def test_html_names_of_article_parts():
+    """Headings, sections and wrappers that have a word of boilerplate in their name are text; real boilerplate isn't."""
+    page = """<body><div class="content-with-sidebar"><div class="ad-slot-2">buy</div><article class="social-science"><h2 id="related-work">Related</h2><p>One.</p>
+    <section id="discussion"><h2 id="history-of-advertising">Past</h2><p>Two.</p></section><div class="layout-sidebar">Three.</div>
+    <div class="share-buttons">share</div><div class="ad">buy</div><section class="comments">me too</section><h3 class="notice">Four</h3></article></div>"""
+    assert html_text.main_text(page) == "Related One. Past Two. Three. Four"
+    for name in ("content-with-sidebar", "layout-sidebar", "sidebar", "widget"):
+        assert html_text.main_text(f'<body><div class="{name}"><p>Long text of the page.</p><p>And more.</p></div></body>') == "Long text of the page. And more."
+    assert html_text.main_text('<body><article><p>Short.</p><div class="ad">Buy this and that here.</div></article></body>') == "Short."
+    longer = '<body><article><p>Short text.</p></article><div class="comments"><p>%s</p></div></body>' % ("I say so. " * 50)
+    assert html_text.main_text(longer) == "Short text."
+
+
 def test_html_query(spark):
     df = spark.createDataFrame([(1, "u", "<p>a b</p>"), (2, None, None), (None, "v", "")], "page_id long, url string, html string").withColumn("text", F.lit("clash"))
     got = sorted((tuple(r) for r in html_text.extract(df).collect()), key=str)
