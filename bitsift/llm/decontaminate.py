@@ -30,7 +30,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bitsift.llm.common import ALNUM, Words, chunks
+from bitsift.llm.common import ALNUM, Words, chunks, steps
 
 WINDOW = 10
 K = 5
@@ -139,13 +139,7 @@ def _lookup(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarra
     sure = np.flatnonzero((low < len(keys)) & (keys[np.minimum(low, len(keys) - 1)] == values)) if len(keys) else np.empty(0, np.int64)
     low = low[sure]
     n = np.searchsorted(keys, values[sure], "right") - low
-    return np.repeat(sure, n), np.repeat(low, n) + _steps(n)
-
-
-def _steps(n: np.ndarray) -> np.ndarray:
-    """0 .. n[0]-1, 0 .. n[1]-1, ..."""
-    total = int(n.sum())
-    return np.arange(total) - np.repeat(np.cumsum(n) - n, n)
+    return np.repeat(sure, n), np.repeat(low, n) + steps(n)
 
 
 SPANS = "id long, n_words long, starts array<long>, ends array<long>, items array<string>"

@@ -1,25 +1,30 @@
 """N-gram Jaccard join by a token-group matrix.
 
-A document's set is its distinct word shingles, as 64-bit hashes in one global
-order: tokens that aren't frequent come first, by hash; frequent ones follow, by
+A document's set is its distinct word shingles.  Words are hashed to 64 bits by
+a chain of non-linear mixes, shingles are mixed from these; sets are compared as 64-bit
+tokens in one global order: tokens that aren't frequent come first, by hash; frequent ones follow, by
 count.  Any order gives right results; this one keeps frequent tokens out of the
 short prefixes in which two similar sets must meet.
 
-1. Of each set the size, a digest and the prefix are written; equal sets collapse
-   to one.  Whole sets are built again from the texts of those that step 4 opens.
-2. Similar documents are put into groups: minhash bands nominate a leader for
-   each document, a leader's link is verified, and the linked ones are a group.
+1. Of each set the size, a digest, minhashes and the prefix are written; equal sets
+   collapse to one.  Whole sets are built again from the texts of those that are opened.
+2. Similar documents are put into groups: documents are sorted by the minhashes of
+   each band, which deals hot bands to many tasks; neighbours that look alike are
+   verified, and the linked ones are a group.
 3. The matrix holds, for each token of the members' prefixes, the groups whose
-   union has it, with their range of set sizes.  Documents whose prefix tokens are
-   all of one group only fall out here.  The others look their prefixes up.  Prefix
-   tokens in no other group's prefix can't be shared with a set whose prefix ends no
-   earlier, so the larger bound of two sets holds for their overlap: a group is a
-   candidate only if it allows the overlap that their sizes ask for, and enough
-   tokens meet.  Documents of one group are connected already, so no pairs inside
-   it are made.
-4. A candidate group is opened by parts of at most GROUP members: the overlap
-   with the part's token union bounds that with any member; only where the bound
-   reaches the threshold are members counted, exactly.
+   union has it, with their range of set sizes, large groups first.  Documents with
+   too few prefix tokens that other groups have fall out here; the others look their
+   prefixes up in the groups before their own, so that of two groups the smaller one
+   asks.  Prefix tokens in no other group's prefix can't be shared with a set whose
+   prefix ends no earlier, so the larger bound of two sets holds for their overlap: a
+   group is a candidate only if it allows the overlap that their sizes ask for, and
+   enough tokens meet.  Documents of one group are connected already, so no pairs
+   inside it are made.  A token of more than HOT_TOKEN sets is dealt to cells, each
+   of two slices of the groups that have it.
+4. A candidate group is opened by parts of bounded size: the overlap with the part's
+   token union bounds that with any member; only where the bound reaches the
+   threshold are members counted, exactly.  The first parts are opened first; the
+   others only for documents that aren't connected with the group by then.
 5. Verified links join groups into components.
 
 Steps 3 and 4 find every pair of documents in different groups that meets the
@@ -33,6 +38,7 @@ empty table gives an empty result; other columns aren't read.
 
 from __future__ import annotations
 
+import itertools
 import re
 from collections.abc import Iterator
 
@@ -42,14 +48,17 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bitsift.llm.common import BROADCAST_BYTES, NOT_SPACE, Words, chunks, join_sized, materialise, mix
+from bitsift.llm.common import BROADCAST_BYTES, NOT_SPACE, Words, bound_batches, chunks, fresh_name, join_sized, materialise, mix, steps, tidy
 from bitsift.llm.components import connected_components
-from bitsift.llm.decontaminate import _steps
 
 #: Most tokens that are called frequent; their order is broadcast (12 bytes each).
 FREQUENT = 400_000
-#: Members that are opened together.
-GROUP = 256
+#: Members that are opened together, and about how many of their tokens.
+GROUP, GROUP_TOKENS = 256, 250_000
+#: Askers that are dealt together.
+ASKERS = 512
+#: Sets that one token may be in before its groups are dealt to cells.
+HOT_TOKEN = 50_000
 #: Shared prefix tokens that are asked for; prefixes are longer by as many less one.
 SHARED = 4
 BANDS, ROWS = 4, 3
@@ -59,9 +68,10 @@ def shingle_sets(raws: list[bytes], k: int) -> list[np.ndarray]:
     """Sorted distinct hashes of each text's shingles of k words; fewer words are one shingle."""
     words = Words(raws, NOT_SPACE)
     grams, out, first = words.grams(k), [], words.first.tolist()
-    for a, b in zip(first, first[1:]):  # noqa: RUF007
+    for a, b in itertools.pairwise(first):
         if b - a >= k:
-            out.append(np.unique(grams[a : b - k + 1]))
+            own = np.sort(grams[a : b - k + 1])
+            out.append(own[np.append(True, own[1:] != own[:-1])])
         elif b > a:
             own = words.hash[a:b] * np.uint64(0xD6E8FEB86659FD93) ** np.arange(1, b - a + 1).astype(np.uint64)
             out.append(mix(own.sum(keepdims=True) + np.uint64(b - a)))
@@ -70,21 +80,54 @@ def shingle_sets(raws: list[bytes], k: int) -> list[np.ndarray]:
     return out
 
 
-def _counts(k: int):
-    """Tokens met twice or more in a batch, with their counts; token null: all of the batch."""
+def _counts(k: int, held_tokens: int = 1 << 20):
+    """Tokens met twice or more in about ``held_tokens`` of a task, with their counts; token null: all of these."""
 
+    def counted(sets: list[np.ndarray]) -> pa.RecordBatch:
+        every = np.sort(np.concatenate(sets))
+        first = np.flatnonzero(np.append(True, every[1:] != every[:-1]))[: len(every)]
+        n = np.diff(np.append(first, len(every)))
+        keep = n >= 2
+        return pa.RecordBatch.from_arrays([pa.array([None, *every[first[keep]].astype(np.int64).tolist()], pa.int64()), pa.array([len(every), *n[keep].tolist()], pa.int64())], ["token", "n"])
+
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
         for batch in batches:
-            sets = [s for _, raws in chunks(batch.column("text").to_pylist()) for s in shingle_sets(raws, k)]
-            every = np.sort(np.concatenate(sets)) if sets else np.empty(0, np.uint64)
-            first = np.flatnonzero(np.append(True, every[1:] != every[:-1])) if len(every) else np.empty(0, np.int64)
-            n = np.diff(np.append(first, len(every)))
-            keep = n >= 2
-            yield pa.RecordBatch.from_arrays([pa.array([None, *every[first[keep]].astype(np.int64).tolist()], pa.int64()), pa.array([len(every), *n[keep].tolist()], pa.int64())], ["token", "n"])
+            for _, raws in chunks(batch.column("text").to_pylist()):
+                held += shingle_sets(raws, k)
+                size += sum(map(len, held[-len(raws) :]))
+                if size >= held_tokens:
+                    yield counted(held)
+                    held, size = [], 0
+        if held:
+            yield counted(held)
 
     return run
 
 
+def frequent_tokens(counts: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """At most ``most`` tokens, those with the largest counts, the least frequent first, and their counts.
+
+    A histogram of counts (eighths of powers of two, so of bounded size) gives the
+    least count with which all tokens fit; only these tokens reach the driver.
+    """
+    level = F.floor(F.log2("n") * 8).cast("int")
+    able = counts.where(F.col("token").isNotNull() & (F.col("n") >= 6)).withColumn("level", level)
+    least, held = None, 0
+    for r in sorted(able.groupBy("level").agg(F.count("*").alias("c")).collect(), key=lambda r: -r["level"]):
+        held += r["c"]
+        if held > most:
+            break
+        least = r["level"]
+    if least is None:
+        return np.empty(0, np.uint64), np.empty(0, np.int64)
+    rows = able.where(F.col("level") >= least).select("token", "n").collect()
+    token, n = (np.array([r[i] for r in rows], np.int64) for i in (0, 1))
+    at = np.lexsort((token, n))
+    return token[at].astype(np.uint64), n[at]
+
+
 class Order:
     """The global order of tokens: rank 0 for those not frequent."""
 
@@ -93,34 +136,50 @@ class Order:
         at = np.argsort(tokens)
         self.tokens, self.rank = tokens[at], (at + 1).astype(np.int32)
 
-    def sort(self, tokens: np.ndarray) -> np.ndarray:
-        if not len(self.tokens) or not len(tokens):
-            return tokens
+    def sort(self, tokens: np.ndarray, owner: np.ndarray) -> np.ndarray:
+        """The places of the tokens by owner (ascending) and, for each, in the global order; a set's tokens must ascend."""
         at = np.searchsorted(self.tokens, tokens)
         at[at == len(self.tokens)] = 0
-        rank = np.where(self.tokens[at] == tokens, self.rank[at], 0)
-        return tokens[np.lexsort((tokens, rank))]
+        rank = np.where(self.tokens[at] == tokens, self.rank[at], 0) if len(self.tokens) else np.zeros(len(tokens), np.int64)
+        return np.argsort(owner * np.int64(1 << 32) + rank, kind="stable")
+
+
+def least_hashes(sets: list[np.ndarray], seeds: np.ndarray) -> np.ndarray:
+    """Minhashes, 32 bits each, of sets that aren't empty: a row a set."""
+    every = np.concatenate(sets)
+    first = np.cumsum([0, *map(len, sets)])[:-1]
+    return np.column_stack([np.minimum.reduceat(mix(every ^ seed), first) >> np.uint64(32) for seed in seeds]).astype(np.uint32)
+
+
+SETS = "id long, h long, uid long, n long, sig1 long, sig2 long, least binary, prefix binary"
 
 
 def _sets(k: int, order, seeds: np.ndarray, percent: int):
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         uid = TaskContext.get().partitionId() << 36
         for batch in batches:
             cols: list[list] = [[] for _ in range(6)]
             for _, raws in chunks(batch.column("text").to_pylist()):
-                for s in shingle_sets(raws, k):
+                sets = shingle_sets(raws, k)
+                full = [s for s in sets if len(s)]
+                least, places, every, j, start = None, None, None, 0, 0
+                if full:
+                    every = np.concatenate(full)
+                    places = every[order.value.sort(every, np.repeat(np.arange(len(full)), [len(s) for s in full]))]
+                    least = least_hashes(full, seeds) if len(seeds) else np.empty((len(full), 0), np.uint32)
+                for s in sets:
                     uid += 1
-                    keys = []
                     if len(s):
-                        least = [int(mix(s ^ seed).min()) for seed in seeds]
-                        keys = [hash((b, *least[b * ROWS : b * ROWS + ROWS])) for b in range(len(seeds) // ROWS)]
                         sums = (int(s.sum(dtype=np.uint64)), int(mix(s + np.uint64(77)).sum(dtype=np.uint64)))
+                        row = (uid, len(s), _signed(sums[0]), _signed(sums[1]), least[j].tobytes(), places[start : start + prefix_length(len(s), percent)].tobytes())
+                        j, start = j + 1, start + len(s)
                     else:
-                        sums = (0, 0)
-                    for c, v in zip(cols, (uid, len(s), _signed(sums[0]), _signed(sums[1]), keys, order.value.sort(s)[: prefix_length(len(s), percent)].tobytes()), strict=True):
+                        row = (uid, 0, 0, 0, b"", b"")
+                    for c, v in zip(cols, row, strict=True):
                         c.append(v)
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("h"), *(pa.array(c, t) for c, t in zip(cols, kinds, strict=True))], ["id", "h", "uid", "n", "sig1", "sig2", "keys", "prefix"])
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("h"), *(pa.array(c, t) for c, t in zip(cols, kinds, strict=True))], ["id", "h", "uid", "n", "sig1", "sig2", "least", "prefix"])
 
     return run
 
@@ -141,6 +200,7 @@ def prefix_length(n: int, percent: int) -> int:
 def _whole_sets(k: int):
     """The tokens, sorted, of each text."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [s.tobytes() for _, raws in chunks(batch.column("text").to_pylist()) for s in shingle_sets(raws, k)]
@@ -149,45 +209,105 @@ def _whole_sets(k: int):
     return run
 
 
-def _matrix_blocks(buckets: int):
-    """Prefix tokens by bucket of the token: blocks of (token, document), with the documents' group and size."""
+def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For each document and band its minhashes, those of the band first, as bytes that sort."""
+    for batch in batches:
+        uid, least = batch.column("uid").to_pylist(), batch.column("least").to_pylist()
+        rows = [(b, np.roll(values, -b * ROWS).astype(">u4").tobytes(), u) for u, raw in zip(uid, least, strict=True) for values in (np.frombuffer(raw, np.uint32),) for b in range(len(values) // ROWS)]
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int32(), pa.binary(), pa.int64()))], ["band", "least", "uid"])
+
+
+def _neighbours(reach: int, alike: float):
+    """Sorted rows of bands: (q, g) for rows at most ``reach`` apart in one band whose share of equal minhashes is ``alike``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        before: list[tuple] = []
         for batch in batches:
-            uid, comp, n, free = (batch.column(c).to_numpy() for c in ("uid", "comp", "n", "free"))
+            q, g = [], []
+            for band, raw, uid in zip(*(batch.column(c).to_pylist() for c in ("band", "least", "uid")), strict=True):
+                key, values = (band, raw[: 4 * ROWS]), np.frombuffer(raw, np.uint32)
+                if before and before[0][0] != key:
+                    before = []
+                for _, other, near in before:
+                    if (values == other).sum() >= alike * len(values):
+                        q.append(uid)
+                        g.append(near)
+                before = [*before[-reach + 1 :], (key, values, uid)]
+            yield pa.RecordBatch.from_arrays([pa.array(q, pa.int64()), pa.array(g, pa.int64())], ["q", "g"])
+
+    return run
+
+
+class Cells:
+    """How hot tokens are dealt: token t has slices(t) slices of groups, and a cell for each two of them."""
+
+    def __init__(self, tokens: np.ndarray, counts: np.ndarray, hot: int):
+        own = counts > hot
+        at = np.argsort(tokens[own])
+        self.tokens, self.slices = tokens[own][at], (-(-counts[own] // hot))[at]
+
+    def number(self, tokens: np.ndarray) -> np.ndarray:
+        """Slices of each token; 1 for those that aren't hot."""
+        if not len(self.tokens):
+            return np.ones(len(tokens), np.int64)
+        at = np.minimum(np.searchsorted(self.tokens, tokens), len(self.tokens) - 1)
+        return np.where(self.tokens[at] == tokens, self.slices[at], 1)
+
+    @staticmethod
+    def slice_of(comp: np.ndarray, number: np.ndarray) -> np.ndarray:
+        return (mix(comp.astype(np.uint64)) % number.astype(np.uint64)).astype(np.int64)
+
+
+def _matrix_blocks(buckets: int, cells):
+    """Prefix tokens by bucket of the token and cell: blocks of (token, cell, document), with the documents' group, its size, their size and bound."""
+
+    @tidy
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            uid, comp, members, n, free = (batch.column(c).to_numpy() for c in ("uid", "comp", "members", "n", "free"))
             prefix = [np.frombuffer(t, np.uint64) for t in batch.column("prefix").to_pylist()]
             token = np.concatenate(prefix) if prefix else np.empty(0, np.uint64)
             owner = np.repeat(np.arange(len(n), dtype=np.int32), [len(p) for p in prefix])
-            bucket = (mix(token) % np.uint64(buckets)).astype(np.int64)
+            number = cells.value.number(token)
+            other = steps(number)  # a hot token's entry goes to the cells of its slice with every slice
+            token, owner, number = (np.repeat(x, number) for x in (token, owner, number))
+            own = Cells.slice_of(comp[owner], number)
+            cell = np.minimum(own, other) * number + np.maximum(own, other)
+            bucket = (mix(token + mix(cell.astype(np.uint64))) % np.uint64(buckets)).astype(np.int64)
             at = np.argsort(bucket, kind="stable")
-            token, owner, bucket = token[at], owner[at], bucket[at]
-            first = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])) if len(bucket) else []
-            out: list[list] = [[] for _ in range(7)]
-            for a, b in zip(first, np.append(first[1:], len(bucket)).astype(np.int64) if len(bucket) else [], strict=True):
+            token, owner, cell, bucket = token[at], owner[at], cell[at], bucket[at]
+            first = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))[: len(bucket)]
+            out: list[list] = [[] for _ in range(9)]
+            for a, b in itertools.pairwise([*first.tolist(), len(bucket)]):
                 docs, local = np.unique(owner[a:b], return_inverse=True)
-                for c, v in zip(out, (int(bucket[a]), token[a:b].tobytes(), local.astype(np.int32).tobytes(), uid[docs].tobytes(), comp[docs].tobytes(), n[docs].astype(np.int32).tobytes(), free[docs].astype(np.int32).tobytes()), strict=True):
+                spread = cell[a:b].astype(np.int32).tobytes() if cell[a:b].any() else b""
+                row = (int(bucket[a]), token[a:b].tobytes(), spread, local.astype(np.int32).tobytes(), uid[docs].tobytes(), comp[docs].tobytes(), *(x[docs].astype(np.int32).tobytes() for x in (members, n, free)))
+                for c, v in zip(out, row, strict=True):
                     c.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), *(pa.array(c, pa.binary()) for c in out[1:])], ["bucket", "token", "owner", "uid", "comp", "n", "free"])
+            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), *(pa.array(c, pa.binary()) for c in out[1:])], ["bucket", "token", "cell", "owner", "uid", "comp", "members", "n", "free"])
 
     return run
 
 
-BLOCKS = "bucket long, token binary, owner binary, uid binary, comp binary, n binary, free binary"
+BLOCKS = "bucket long, token binary, cell binary, owner binary, uid binary, comp binary, members binary, n binary, free binary"
 
 
-def _columns(blocks: list[dict]) -> tuple[np.ndarray, ...]:
-    """Token, document, group, size and bound of every entry, by token and group; and whether each is the first of its token."""
-    token = np.concatenate([np.frombuffer(b["token"], np.uint64) for b in blocks])
-    rest = (np.concatenate([np.frombuffer(b[c], t)[np.frombuffer(b["owner"], np.int32)] for b in blocks]) for c, t in (("uid", np.int64), ("comp", np.int64), ("n", np.int32), ("free", np.int32)))
-    uid, comp, n, free = rest
-    at = np.lexsort((comp, token))
-    token = token[at]
-    return token, uid[at], comp[at], n[at].astype(np.int64), free[at].astype(np.int64), np.append(True, token[1:] != token[:-1])
+def _columns(blocks: list[dict]) -> dict[str, np.ndarray]:
+    """The entries by token, cell and group, large groups first; row: whether each is the first of its token and cell."""
+    out = {"token": np.concatenate([np.frombuffer(b["token"], np.uint64) for b in blocks])}
+    out["cell"] = np.concatenate([np.frombuffer(b["cell"], np.int32) if b["cell"] else np.zeros(len(b["token"]) // 8, np.int32) for b in blocks])
+    for c, t in (("uid", np.int64), ("comp", np.int64), ("members", np.int32), ("n", np.int32), ("free", np.int32)):
+        out[c] = np.concatenate([np.frombuffer(b[c], t)[np.frombuffer(b["owner"], np.int32)] for b in blocks])
+    at = np.lexsort((out["comp"], -out["members"], out["cell"], out["token"]))
+    out = {c: x[at] for c, x in out.items()}
+    new = lambda c: out[c][1:] != out[c][:-1]
+    return out | {"row": np.append(True, new("token") | new("cell"))[: len(at)]}
 
 
 def _by_bucket(work):
     """Streams the blocks of each bucket, which come sorted, to work."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[dict] = []
         for batch in batches:
@@ -203,39 +323,47 @@ def _by_bucket(work):
 
 
 def _matrix_live(blocks: list[dict]) -> Iterator[pa.RecordBatch]:
-    """How many of a document's tokens other groups have too; documents without any are left out."""
-    token, uid, comp, _, _, new_token = _columns(blocks)
-    first = np.flatnonzero(new_token)
-    size = np.diff(np.append(first, len(token)))
-    shared = comp[first] != comp[first + size - 1]  # groups ascend within a token
-    own, n = np.unique(uid[np.repeat(shared, size)], return_counts=True)
-    yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(n)], ["uid", "live"])
+    """How many of a document's tokens other groups have too (a hot token once for each cell); documents without any are left out."""
+    own = _columns(blocks)
+    comp, first = own["comp"], np.flatnonzero(own["row"])
+    size = np.diff(np.append(first, len(comp)))
+    shared = comp[first] != comp[first + size - 1]  # a group's entries stand together in a row
+    uid, n = np.unique(own["uid"][np.repeat(shared, size)], return_counts=True)
+    yield pa.RecordBatch.from_arrays([pa.array(uid), pa.array(n)], ["uid", "live"])
 
 
-def _matrix_lookup(percent: int, slice_pairs: int = 2_000_000):
-    """For each bucket of tokens: (document, group, shared tokens, sizes met) where sizes allow a link and the group isn't its own."""
+def _matrix_lookup(percent: int, cells, slice_pairs: int = 200_000):
+    """For each bucket of tokens: (document, group, shared tokens, sizes met) where sizes allow a link and the group stands before its own."""
 
     def pairs_of(blocks: list[dict]) -> Iterator[pa.RecordBatch]:
-        token, uid, comp, n, free, new_token = _columns(blocks)
-        new_group = new_token | np.append(True, comp[1:] != comp[:-1])
-        # the matrix: one entry for each token and group, with the sizes of the members that have the token
+        held = _columns(blocks)
+        token, uid, comp, n, free, new_row = (held[c] for c in ("token", "uid", "comp", "n", "free", "row"))
+        n, free = n.astype(np.int64), free.astype(np.int64)
+        new_group = new_row | np.append(True, comp[1:] != comp[:-1])
+        # the matrix: one entry for each row and group, with the sizes of the members that have the token
         first = np.flatnonzero(new_group)
         low, high, reach = np.minimum.reduceat(n, first), np.maximum.reduceat(n, first), np.maximum.reduceat(free, first)
+        number = cells.value.number(token)
+        own = Cells.slice_of(comp, number)
+        crossed = held["cell"] // number != held["cell"] % number  # cells of two slices: only groups of different ones meet there
         entry = np.cumsum(new_group) - 1
-        row_first = entry[np.flatnonzero(new_token)][np.cumsum(new_token) - 1]  # a token's first entry
-        before = entry - row_first  # groups of smaller number in the same row
+        row_first = entry[np.flatnonzero(new_row)][np.cumsum(new_row) - 1]  # a row's first entry
+        before = entry - row_first  # groups that stand before in the same row
         asks = np.flatnonzero(before)
-        steps = np.cumsum(before[asks])
+        most = np.cumsum(before[asks])
         a = 0
         while a < len(asks):
-            b = max(a + 1, int(np.searchsorted(steps, (steps[a - 1] if a else 0) + slice_pairs, "right")))
-            own = asks[a:b]
-            q = np.repeat(own, before[own])
-            g = row_first[q] + _steps(before[own])
-            fits = (n[q] * percent <= high[g] * 100) & (low[g] * percent <= n[q] * 100)
+            # at most slice_pairs at once, but for one entry's own
+            b = max(a + 1, int(np.searchsorted(most, (most[a - 1] if a else 0) + slice_pairs, "right")))
+            some = asks[a:b]
+            q = np.repeat(some, before[some])
+            g = row_first[q] + steps(before[some])
+            a = b
+            fits = (n[q] * percent <= high[g] * 100) & (low[g] * percent <= n[q] * 100) & ~(crossed[q] & (own[q] == own[first[g]]))
+            q, g = q[fits], g[fits]
             least = np.maximum(low[g], -(-n[q] * percent // 100))
             # of two sets, only the free count of the one whose prefix ends first bounds the overlap; the larger count holds for both
-            fits &= np.maximum(free[q], reach[g]) * (100 + percent) >= percent * (n[q] + least)
+            fits = np.maximum(free[q], reach[g]) * (100 + percent) >= percent * (n[q] + least)
             q, g, small, large = uid[q[fits]], comp[first[g[fits]]], low[g[fits]], high[g[fits]]
             if len(q):
                 at = np.lexsort((g, q))
@@ -243,14 +371,14 @@ def _matrix_lookup(percent: int, slice_pairs: int = 2_000_000):
                 start = np.flatnonzero(np.append(True, (q[1:] != q[:-1]) | (g[1:] != g[:-1])))
                 columns = (q[start], g[start], np.diff(np.append(start, len(q))), np.minimum.reduceat(small, start), np.maximum.reduceat(large, start))
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["q", "g", "shared", "low", "high"])
-            a = b
 
     return _by_bucket(pairs_of)
 
 
 def _opened(percent: int):
-    """Streams parts of groups (rows with role 0) and their askers (role 1): exact links (a, b), one for each asker and group."""
+    """Streams parts of groups (rows with role 0) and their askers (role 1): exact links (a, b), one for each asker and part."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, members, ready = None, [], None
         for batch in batches:
@@ -274,7 +402,7 @@ def _opened(percent: int):
                 bound = int((high > low).sum())  # the overlap with the union of the part
                 if bound * (100 + percent) < percent * (len(tokens) + int(sizes.min())):
                     continue
-                shared = np.bincount(owner[np.repeat(low, high - low) + _steps(high - low)], minlength=len(members))
+                shared = np.bincount(owner[np.repeat(low, high - low) + steps(high - low)], minlength=len(members))
                 good = np.flatnonzero(shared * (100 + percent) >= percent * (len(tokens) + sizes))
                 good = [i for i in good.tolist() if members[i][0] != row["uid"]][:1]
                 a += [row["uid"]] * len(good)
@@ -302,85 +430,120 @@ def needed(n, low, high, percent: int):
     return F.greatest(F.lit(1), F.least(at(low), at(high)) - F.when(low < high, 1).otherwise(0))
 
 
-def _links(asks: DataFrame, members: DataFrame, texts: DataFrame, owners: DataFrame, k: int, percent: int, block: int = 512) -> DataFrame:
-    """asks (q, g), members (g, part, m): verified links (a, b).  A group's askers are dealt to blocks of about ``block``."""
-    blocks = asks.groupBy("g").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
-    asked = asks.join(blocks, "g").withColumn("block", F.pmod(F.xxhash64("q"), F.col("blocks")).cast("int"))
+def _links(asks: DataFrame, members: DataFrame, texts: DataFrame, owners: DataFrame, k: int, percent: int) -> DataFrame:
+    """asks (q, g), members (g, part, m): verified links (a, b).  A group's askers are dealt to blocks of about ASKERS."""
+    blocks = materialise(asks.groupBy("g").agg(F.ceil(F.count("*") / ASKERS).cast("int").alias("blocks")), "asked-groups")
+    count = blocks.count()
+    asked = join_sized(asks, blocks, ["g"], "inner", 16, count).withColumn("block", F.pmod(F.xxhash64("q"), F.col("blocks")).cast("int"))
     parts = members.select("g", "part").distinct()
     rows = (
-        members.join(blocks, "g").select("g", "part", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(0).alias("role"), F.col("m").alias("uid"))
+        join_sized(members, blocks, ["g"], "inner", 16, count).select("g", "part", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(0).alias("role"), F.col("m").alias("uid"))
         .unionByName(asked.join(parts, "g").select("g", "part", "block", F.lit(1).alias("role"), F.col("q").alias("uid")))
     )
     rows = materialise(rows, "opened")
-    wanted = materialise(owners.select("uid", "id", "h").join(rows.select("uid").distinct(), "uid").select("uid", F.coalesce("id", F.lit(0)).alias("id"), "h"), "wanted")
-    found = join_sized(texts.withColumn("id", F.coalesce("id", F.lit(0))), wanted, ["id", "h"], "inner", 32)
-    sets = found.select("uid", "text").mapInArrow(_whole_sets(k), "uid long, tokens binary")
+    wanted = join_sized(owners.select("uid", "id", "h"), materialise(rows.select("uid").distinct(), "opened-uids"), ["uid"], "left_semi", 12)
+    wanted = materialise(wanted.select("uid", F.coalesce("id", F.lit(0)).alias("id"), "h"), "wanted")
+    found = join_sized(texts.withColumn("id", F.coalesce("id", F.lit(0))), wanted, ["id", "h"], "inner", 32).select("uid", "text")
+    if not wanted.groupBy("id", "h").agg(F.count("*").alias("c")).where("c > 1").isEmpty() or found.count() > wanted.count():
+        found = found.groupBy("uid").agg(F.first("text").alias("text"))  # rows that repeat both id and text
+    sets = found.mapInArrow(_whole_sets(k), "uid long, tokens binary")
     full = join_sized(sets, rows, ["uid"], "inner", 64)
     n = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = full.select("g", "part", "block", "role", "uid", "tokens").repartition(n, "g", "part", "block").sortWithinPartitions("g", "part", "block", "role", "uid")
     return materialise(dealt.mapInArrow(_opened(percent), "a long, b long"), "links")
 
 
-def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 4, percent: int = 85, bands: int = BANDS) -> DataFrame:
+def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 4, percent: int = 85, bands: int = BANDS, hot_token: int = HOT_TOKEN) -> DataFrame:
     """One row per input row: id, n_shingles, component_id (smallest id that links reach, its own included).  Any number of bands gives the same rows."""
     spark = docs.sparkSession
+    bound_batches(spark)
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("h"), F.col(text_col).alias("text"))
     counts = materialise(texts.select("text").mapInArrow(_counts(k), "token long, n long").groupBy("token").agg(F.sum("n").alias("n")), "shingle-counts")
     total = (counts.where("token IS NULL").first() or {"n": 0})["n"]
-    frequent = [r["token"] for r in counts.where(F.col("token").isNotNull() & (F.col("n") >= 6)).orderBy(F.desc("n"), "token").limit(FREQUENT).select("token").collect()][::-1]
-    order = spark.sparkContext.broadcast(Order(np.array(frequent, np.int64).astype(np.uint64)))
+    frequent, often = frequent_tokens(counts, FREQUENT)
+    order, cells = (spark.sparkContext.broadcast(x) for x in (Order(frequent), Cells(frequent, often, hot_token)))
     seeds = mix(np.arange(1, bands * ROWS + 1, dtype=np.uint64))
-    sets = materialise(texts.mapInArrow(_sets(k, order, seeds, percent), "id long, h long, uid long, n long, sig1 long, sig2 long, keys array<long>, prefix binary"), "shingle-sets")
+    sets = materialise(texts.mapInArrow(_sets(k, order, seeds, percent), SETS), "shingle-sets")
 
     # equal sets have one representative
-    same = sets.where("n > 0").groupBy("n", "sig1", "sig2").agg(F.min("uid").alias("rep"))
-    owners = materialise(sets.where("n > 0").select("uid", "id", "h", "n", "sig1", "sig2").join(same, ["n", "sig1", "sig2"]).select("uid", "id", "h", "n", "rep"), "shingle-owners")
-    reps = join_sized(sets, owners.where("uid = rep").select("uid"), ["uid"], "left_semi", 16)
-
-    # groups: verified links to leaders of minhash bands
-    keys = materialise(reps.select("uid", F.explode("keys").alias("key")), "bands")
-    leaders = keys.groupBy("key").agg(F.min("uid").alias("g"), F.count("*").alias("c")).where("c > 1").select("key", "g")
-    led = materialise(keys.join(leaders, "key").where("uid <> g").select(F.col("uid").alias("q"), "g").distinct(), "led")
-    to_leaders = _links(led, led.select("g", F.lit(0).alias("part"), F.col("g").alias("m")).distinct(), texts, owners, k, percent)
-    grouped = materialise(connected_components(to_leaders), "groups")
-    own_group = materialise(join_sized(owners.where("uid = rep").select("uid"), grouped.withColumnRenamed("node", "uid"), ["uid"], "left", 24).select("uid", F.coalesce("component", "uid").alias("comp")), "own-groups")
+    same = sets.where("n > 0").groupBy("n", "sig1", "sig2").agg(F.min("uid").alias("rep"), F.count("*").alias("c")).where("c > 1").drop("c")
+    same = materialise(same, "equal-sets")
+    owners = join_sized(sets.where("n > 0").select("uid", "id", "h", "n", "sig1", "sig2"), same, ["n", "sig1", "sig2"], "left", 48)
+    owners = materialise(owners.select("uid", "id", "h", "n", F.coalesce("rep", "uid").alias("rep")), "shingle-owners")
+    reps = join_sized(sets.where("n > 0").select("uid", "n", "least", "prefix"), owners.where("uid <> rep").select("uid"), ["uid"], "left_anti", 12)
 
-    # the matrix, and what it nominates
+    # groups: verified links to neighbours in bands
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    buckets = max(n, int(total * 0.2 / 1_000_000))
-    deal = lambda df: df.mapInArrow(_matrix_blocks(buckets), BLOCKS).repartition(n, "bucket").sortWithinPartitions("bucket")
-    with_group = join_sized(reps.select("uid", "n", "prefix"), own_group, ["uid"], "inner", 24)
+    sorted_bands = reps.select("uid", "least").mapInArrow(_bands, "band int, least binary, uid long").repartitionByRange(n, "band", "least", "uid").sortWithinPartitions("band", "least", "uid")
+    near = materialise(sorted_bands.mapInArrow(_neighbours(3, 0.55), "q long, g long").distinct(), "neighbours")
+    to_near = _links(near, near.select("g", F.lit(0).alias("part"), F.col("g").alias("m")).distinct(), texts, owners, k, percent)
+    grouped = connected_components(to_near).withColumnsRenamed({"node": "uid", "component": "comp"})
+    sized = materialise(grouped.groupBy("comp").agg(F.count("*").cast("int").alias("members")), "group-sizes")
+    grouped = materialise(join_sized(grouped, sized, ["comp"], "inner", 20), "groups")
+    own_group = join_sized(owners.where("uid = rep").select("uid", "n"), grouped, ["uid"], "left", 28)
+    own_group = materialise(own_group.select("uid", "n", F.coalesce("comp", "uid").alias("comp"), F.coalesce("members", F.lit(1)).alias("members")), "own-groups")
+
+    # the matrix, and what it nominates
+    buckets = max(n, int(total * 0.2 / 250_000))
+    deal = lambda df: df.mapInArrow(_matrix_blocks(buckets, cells), BLOCKS).repartition(n, "bucket").sortWithinPartitions("bucket")
+    with_group = join_sized(reps.select("uid", "n", "prefix"), grouped, ["uid"], "left", 28)
+    with_group = with_group.select("uid", "n", "prefix", F.coalesce("comp", "uid").alias("comp"), F.coalesce("members", F.lit(1)).alias("members"))
     live = deal(with_group.withColumn("free", F.col("n"))).mapInArrow(_by_bucket(_matrix_live), "uid long, live long").groupBy("uid").agg(F.sum("live").alias("live"))
-    live = materialise(live, "live-tokens")
+    live = join_sized(owners.select("uid", "n"), materialise(live, "live-tokens"), ["uid"], "inner", 20)
+    # of any size that a link may have, the fewest prefix tokens that must meet
+    every_size = (F.ceil(F.col("n") * percent / F.lit(100)), F.floor(F.col("n") * 100 / F.lit(percent)))
+    live = materialise(live.where(F.col("live") >= needed(F.col("n"), *every_size, percent)).select("uid", "live"), "able")
     # of the prefix only the live tokens can be shared with a set of another group whose prefix ends no earlier; one that
     # ends earlier may hold the others past its end, so a low count alone rules nothing out
-    bounded = join_sized(with_group, live, ["uid"], "inner", 24).withColumn("free", F.col("n") - F.octet_length("prefix") / 8 + F.col("live"))
-    bounded = bounded.select("uid", "n", "prefix", "comp", F.col("free").cast("long").alias("free"))
-    found = deal(bounded).mapInArrow(_matrix_lookup(percent), "q long, g long, shared long, low long, high long")
+    bounded = join_sized(with_group, live, ["uid"], "inner", 24).withColumn("free", F.col("n") - F.greatest(F.octet_length("prefix") / 8 - F.col("live"), F.lit(0)))
+    bounded = bounded.select("uid", "n", "prefix", "comp", "members", F.col("free").cast("long").alias("free"))
+    found = deal(bounded).mapInArrow(_matrix_lookup(percent, cells), "q long, g long, shared long, low long, high long")
     sums = found.groupBy("q", "g").agg(F.sum("shared").alias("shared"), F.min("low").alias("low"), F.max("high").alias("high"))
-    sizes = owners.where("uid = rep").select(F.col("uid").alias("q"), "n")
+    sizes = own_group.select(F.col("uid").alias("q"), "n")
     asks = materialise(sums.join(sizes, "q").where(F.col("shared") >= needed(F.col("n"), F.col("low"), F.col("high"), percent)).select("q", "g"), "asks")
-    asked = asks.select("g").distinct()
-    sizes_of = own_group.groupBy(F.col("comp").alias("g")).agg(F.ceil(F.count("*") / GROUP).alias("parts"))
-    members = own_group.select(F.col("comp").alias("g"), F.col("uid").alias("m")).join(asked, "g").join(sizes_of, "g").select("g", F.pmod(F.xxhash64("m"), F.col("parts")).cast("int").alias("part"), "m")
-    across = _links(asks, members, texts, owners, k, percent)
+
+    # candidate groups are opened: first parts first
+    asked = materialise(asks.select("g").distinct(), "asked")
+    parts_of = own_group.select(F.col("comp").alias("g"), F.col("uid").alias("m"), "n")
+    parts_of = join_sized(parts_of, asked, ["g"], "left_semi", 12)
+    parts = materialise(parts_of.groupBy("g").agg(F.greatest(F.ceil(F.count("*") / GROUP), F.ceil(F.sum("n") / GROUP_TOKENS)).alias("parts")), "parts")
+    members = join_sized(parts_of, parts, ["g"], "inner", 20).select("g", F.pmod(F.xxhash64("m"), F.col("parts")).cast("int").alias("part"), "m")
+    members = materialise(members, "members")
+    names = own_group.select("uid", "comp")
+
+    def between(links: DataFrame) -> DataFrame:
+        a, b = names.withColumnsRenamed({"uid": "a", "comp": "ca"}), names.withColumnsRenamed({"uid": "b", "comp": "cb"})
+        return links.join(a, "a").join(b, "b").select(F.col("ca").alias("a"), F.col("cb").alias("b"))
+
+    edges = materialise(between(_links(asks, members.where("part = 0"), texts, owners, k, percent)).distinct(), "group-links")
+    joined = connected_components(edges)
+    if not parts.where("parts > 1").isEmpty():
+        side = lambda c: joined.select(F.col("node").alias(c), F.col("component").alias(f"{c}_in"))
+        open_ = asks.join(names.withColumnsRenamed({"uid": "q", "comp": "own"}), "q").join(parts.where("parts > 1").select("g"), "g")
+        open_ = open_.join(side("own"), "own", "left").join(side("g"), "g", "left").where(F.coalesce("own_in", "own") != F.coalesce("g_in", "g"))
+        open_ = materialise(open_.select("q", "g"), "asks-left")
+        more = between(_links(open_, members.where("part > 0"), texts, owners, k, percent))
+        joined = connected_components(materialise(edges.unionByName(more).distinct(), "group-links"))
 
     # links between groups join them
-    names = own_group.withColumnRenamed("comp", "c")
-    between = across.join(names.withColumnsRenamed({"uid": "a", "c": "ca"}), "a").join(names.withColumnsRenamed({"uid": "b", "c": "cb"}), "b").select(F.col("ca").alias("a"), F.col("cb").alias("b"))
-    joined = materialise(connected_components(between), "joined-groups")
-    final = own_group.join(joined.withColumnRenamed("node", "comp"), "comp", "left").select(F.col("uid").alias("rep"), F.coalesce("component", "comp").alias("component"))
-    placed = materialise(owners.join(final, "rep").select("id", "n", "component"), "placed")
-    least_id = placed.groupBy("component").agg(F.min("id").alias("component_id"))
-    full = placed.join(least_id, "component").select("id", F.col("n").alias("n_shingles"), "component_id")
+    joined = materialise(joined.withColumnsRenamed({"node": "comp"}), "joined-groups")
+    final = join_sized(names, joined, ["comp"], "left", 20).select(F.col("uid").alias("rep"), F.coalesce("component", "comp").alias("component"))
+    # a set without links is its own component
+    moved = materialise(final.where("rep <> component"), "moved")
+    placed = join_sized(owners, moved, ["rep"], "left", 20).select("id", "n", F.coalesce("component", "rep").alias("component"))
+    placed = materialise(placed, "placed")
+    least_id = materialise(placed.groupBy("component").agg(F.min("id").alias("component_id"), F.count("*").alias("c")).where("c > 1").drop("c"), "component-ids")
+    full = join_sized(placed, least_id.withColumn("many", F.lit(True)), ["component"], "left", 24)
+    full = full.select("id", F.col("n").alias("n_shingles"), F.when(F.col("many"), F.col("component_id")).otherwise(F.col("id")).alias("component_id"))
     return full.unionByName(sets.where("n = 0").select("id", F.col("n").alias("n_shingles"), F.col("id").alias("component_id")))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 4, percent: int = 85) -> DataFrame:
     """The rows of docs, all columns, without those whose component has a smaller id.  Rows that share an id go or stay together."""
+    name = fresh_name("gone_id", docs)
     found = ngram_components(docs, id_col, text_col, k, percent)
-    gone = materialise(found.where("NOT (id <=> component_id)").select(F.col("id").alias("gone_id")).distinct(), "near-gone")
-    same = F.col(id_col).cast("long").eqNullSafe(F.col("gone_id"))
+    gone = materialise(found.where("NOT (id <=> component_id)").select(F.col("id").alias(name)).distinct(), "near-gone")
+    same = F.col(id_col).cast("long").eqNullSafe(F.col(name))
     return docs.join(F.broadcast(gone) if gone.count() * 16 <= BROADCAST_BYTES else gone, same, "left_anti")
 
 
