@@ -15,12 +15,12 @@ short prefixes in which two similar sets must meet.
    union has it, with their range of set sizes, large groups first.  Documents with
    too few prefix tokens that other groups have fall out here; the others look their
    prefixes up in the groups before their own, so that of two groups the smaller one
-   asks.  Prefix tokens in no other group's prefix can't be shared with a set whose
-   prefix ends no earlier, so the larger bound of two sets holds for their overlap: a
-   group is a candidate only if it allows the overlap that their sizes ask for, and
-   enough tokens meet.  Documents of one group are connected already, so no pairs
-   inside it are made.  A token of more than HOT_TOKEN sets is dealt to cells, each
-   of two slices of the groups that have it.
+   asks.  Two sets that must share o tokens share SHARED (or o) of their prefixes of
+   size - o + SHARED tokens, so a token counts only where it stands within that of both
+   for some size that the group has, and a group is a candidate only if enough tokens
+   count.  Documents of one group are connected already, so no pairs inside it are
+   made.  A token of more than HOT_TOKEN sets is dealt to cells, each of two slices of
+   the groups that have it.
 4. A candidate group is opened by parts of bounded size: the overlap with the part's
    token union bounds that with any member; only where the bound reaches the
    threshold are members counted, exactly.  The first parts are opened first; the
@@ -59,6 +59,8 @@ GROUP, GROUP_TOKENS = 256, 250_000
 ASKERS = 512
 #: Sets that one token may be in before its groups are dealt to cells.
 HOT_TOKEN = 50_000
+#: About how many entries of the matrix are looked at together.
+BUCKET_ENTRIES = 250_000
 #: Shared prefix tokens that are asked for; prefixes are longer by as many less one.
 SHARED = 4
 BANDS, ROWS = 4, 3
@@ -259,44 +261,47 @@ class Cells:
 
 
 def _matrix_blocks(buckets: int, cells):
-    """Prefix tokens by bucket of the token and cell: blocks of (token, cell, document), with the documents' group, its size, their size and bound."""
+    """Prefix tokens by bucket of the token and cell: blocks of (token, cell, place, document), with the documents' group, its members and their size."""
 
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            uid, comp, members, n, free = (batch.column(c).to_numpy() for c in ("uid", "comp", "members", "n", "free"))
+            uid, comp, members, n = (batch.column(c).to_numpy() for c in ("uid", "comp", "members", "n"))
             prefix = [np.frombuffer(t, np.uint64) for t in batch.column("prefix").to_pylist()]
             token = np.concatenate(prefix) if prefix else np.empty(0, np.uint64)
-            owner = np.repeat(np.arange(len(n), dtype=np.int32), [len(p) for p in prefix])
+            size = np.array([len(p) for p in prefix], np.int64)
+            owner = np.repeat(np.arange(len(n), dtype=np.int32), size)
+            place = np.minimum(steps(size), 0xFFFF).astype(np.uint16)  # too small a place loses nothing
             number = cells.value.number(token)
             other = steps(number)  # a hot token's entry goes to the cells of its slice with every slice
-            token, owner, number = (np.repeat(x, number) for x in (token, owner, number))
+            token, owner, place, number = (np.repeat(x, number) for x in (token, owner, place, number))
             own = Cells.slice_of(comp[owner], number)
             cell = np.minimum(own, other) * number + np.maximum(own, other)
             bucket = (mix(token + mix(cell.astype(np.uint64))) % np.uint64(buckets)).astype(np.int64)
             at = np.argsort(bucket, kind="stable")
-            token, owner, cell, bucket = token[at], owner[at], cell[at], bucket[at]
+            token, owner, place, cell, bucket = token[at], owner[at], place[at], cell[at], bucket[at]
             first = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))[: len(bucket)]
             out: list[list] = [[] for _ in range(9)]
             for a, b in itertools.pairwise([*first.tolist(), len(bucket)]):
                 docs, local = np.unique(owner[a:b], return_inverse=True)
                 spread = cell[a:b].astype(np.int32).tobytes() if cell[a:b].any() else b""
-                row = (int(bucket[a]), token[a:b].tobytes(), spread, local.astype(np.int32).tobytes(), uid[docs].tobytes(), comp[docs].tobytes(), *(x[docs].astype(np.int32).tobytes() for x in (members, n, free)))
+                row = (int(bucket[a]), token[a:b].tobytes(), spread, place[a:b].tobytes(), local.astype(np.int32).tobytes(), uid[docs].tobytes(), comp[docs].tobytes(), *(x[docs].astype(np.int32).tobytes() for x in (members, n)))
                 for c, v in zip(out, row, strict=True):
                     c.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), *(pa.array(c, pa.binary()) for c in out[1:])], ["bucket", "token", "cell", "owner", "uid", "comp", "members", "n", "free"])
+            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), *(pa.array(c, pa.binary()) for c in out[1:])], ["bucket", "token", "cell", "place", "owner", "uid", "comp", "members", "n"])
 
     return run
 
 
-BLOCKS = "bucket long, token binary, cell binary, owner binary, uid binary, comp binary, members binary, n binary, free binary"
+BLOCKS = "bucket long, token binary, cell binary, place binary, owner binary, uid binary, comp binary, members binary, n binary"
 
 
 def _columns(blocks: list[dict]) -> dict[str, np.ndarray]:
     """The entries by token, cell and group, large groups first; row: whether each is the first of its token and cell."""
     out = {"token": np.concatenate([np.frombuffer(b["token"], np.uint64) for b in blocks])}
     out["cell"] = np.concatenate([np.frombuffer(b["cell"], np.int32) if b["cell"] else np.zeros(len(b["token"]) // 8, np.int32) for b in blocks])
-    for c, t in (("uid", np.int64), ("comp", np.int64), ("members", np.int32), ("n", np.int32), ("free", np.int32)):
+    out["place"] = np.concatenate([np.frombuffer(b["place"], np.uint16) for b in blocks])
+    for c, t in (("uid", np.int64), ("comp", np.int64), ("members", np.int32), ("n", np.int32)):
         out[c] = np.concatenate([np.frombuffer(b[c], t)[np.frombuffer(b["owner"], np.int32)] for b in blocks])
     at = np.lexsort((out["comp"], -out["members"], out["cell"], out["token"]))
     out = {c: x[at] for c, x in out.items()}
@@ -332,17 +337,39 @@ def _matrix_live(blocks: list[dict]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(uid), pa.array(n)], ["uid", "live"])
 
 
-def _matrix_lookup(percent: int, cells, slice_pairs: int = 200_000):
-    """For each bucket of tokens: (document, group, shared tokens, sizes met) where sizes allow a link and the group stands before its own."""
+def _summed(q: np.ndarray, g: np.ndarray, shared: np.ndarray, low: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, ...]:
+    """One entry for each document and group: the sum of what they share, the least size, the document's own."""
+    at = np.lexsort((g, q))
+    q, g = q[at], g[at]
+    start = np.flatnonzero(np.append(True, (q[1:] != q[:-1]) | (g[1:] != g[:-1])))
+    return q[start], g[start], np.add.reduceat(shared[at], start), np.minimum.reduceat(low[at], start), n[at][start]
+
+
+LOOKED_UP = "q long, g long, shared long, low long, n long"
+
+
+def _matrix_lookup(percent: int, cells, complete: bool, slice_pairs: int = 200_000, held_pairs: int = 1_000_000):
+    """For each bucket of tokens: (document, group, shared tokens that count, least size met, own size) where sizes allow a link and the group stands before its own.
+
+    complete: there is one bucket, so that pairs that share too few tokens are seen here.
+    """
+
+    def found(columns: tuple[np.ndarray, ...], whole: bool) -> pa.RecordBatch:
+        if complete and whole:
+            _, _, shared, low, n = columns
+            least = np.maximum(low, -(-n * percent // 100))
+            enough = shared >= np.minimum(SHARED, -(-(n + least) * percent // (100 + percent)))
+            columns = tuple(c[enough] for c in columns)
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["q", "g", "shared", "low", "n"])
 
     def pairs_of(blocks: list[dict]) -> Iterator[pa.RecordBatch]:
         held = _columns(blocks)
-        token, uid, comp, n, free, new_row = (held[c] for c in ("token", "uid", "comp", "n", "free", "row"))
-        n, free = n.astype(np.int64), free.astype(np.int64)
+        token, uid, comp, new_row = (held[c] for c in ("token", "uid", "comp", "row"))
+        n, place = held["n"].astype(np.int64), held["place"].astype(np.int64)
         new_group = new_row | np.append(True, comp[1:] != comp[:-1])
-        # the matrix: one entry for each row and group, with the sizes of the members that have the token
+        # the matrix: one entry for each row and group, with the sizes of the members that have the token, and its first place in them
         first = np.flatnonzero(new_group)
-        low, high, reach = np.minimum.reduceat(n, first), np.maximum.reduceat(n, first), np.maximum.reduceat(free, first)
+        low, high, ahead = np.minimum.reduceat(n, first), np.maximum.reduceat(n, first), np.minimum.reduceat(place, first)
         number = cells.value.number(token)
         own = Cells.slice_of(comp, number)
         crossed = held["cell"] // number != held["cell"] % number  # cells of two slices: only groups of different ones meet there
@@ -351,7 +378,7 @@ def _matrix_lookup(percent: int, cells, slice_pairs: int = 200_000):
         before = entry - row_first  # groups that stand before in the same row
         asks = np.flatnonzero(before)
         most = np.cumsum(before[asks])
-        a = 0
+        a, held_rows, rows, whole = 0, [], 0, True
         while a < len(asks):
             # at most slice_pairs at once, but for one entry's own
             b = max(a + 1, int(np.searchsorted(most, (most[a - 1] if a else 0) + slice_pairs, "right")))
@@ -361,16 +388,24 @@ def _matrix_lookup(percent: int, cells, slice_pairs: int = 200_000):
             a = b
             fits = (n[q] * percent <= high[g] * 100) & (low[g] * percent <= n[q] * 100) & ~(crossed[q] & (own[q] == own[first[g]]))
             q, g = q[fits], g[fits]
-            least = np.maximum(low[g], -(-n[q] * percent // 100))
-            # of two sets, only the free count of the one whose prefix ends first bounds the overlap; the larger count holds for both
-            fits = np.maximum(free[q], reach[g]) * (100 + percent) >= percent * (n[q] + least)
-            q, g, small, large = uid[q[fits]], comp[first[g[fits]]], low[g[fits]], high[g[fits]]
+            size = n[q]
+            least, largest = np.maximum(low[g], -(-size * percent // 100)), np.minimum(high[g], size * 100 // percent)
+            # how far the prefixes reach that must share SHARED tokens: the asker's for the least size, the group's for the largest
+            fits = place[q] < size + SHARED + (size + least) * -percent // (100 + percent)
+            fits &= ahead[g] < largest + SHARED + (size + largest) * -percent // (100 + percent)
+            q, g = q[fits], g[fits]
             if len(q):
-                at = np.lexsort((g, q))
-                q, g, small, large = q[at], g[at], small[at], large[at]
-                start = np.flatnonzero(np.append(True, (q[1:] != q[:-1]) | (g[1:] != g[:-1])))
-                columns = (q[start], g[start], np.diff(np.append(start, len(q))), np.minimum.reduceat(small, start), np.maximum.reduceat(large, start))
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["q", "g", "shared", "low", "high"])
+                held_rows.append(_summed(uid[q], comp[first[g]], np.ones(len(q), np.int64), low[g], n[q]))
+                rows += len(held_rows[-1][0])
+                if rows > held_pairs:
+                    held_rows = [_summed(*map(np.concatenate, zip(*held_rows, strict=True)))]
+                    rows = len(held_rows[0][0])
+                    if 2 * rows > held_pairs:
+                        whole = False
+                        yield found(held_rows[0], whole)
+                        held_rows, rows = [], 0
+        if held_rows:
+            yield found(_summed(*map(np.concatenate, zip(*held_rows, strict=True))), whole)
 
     return _by_bucket(pairs_of)
 
@@ -412,22 +447,10 @@ def _opened(percent: int):
     return run
 
 
-def needed(n, low, high, percent: int):
-    """Prefix tokens that a document of n tokens must share with a group whose members have low to high tokens.
-
-    With two sets whose last prefix tokens are u <= v, all common tokens up to u
-    are in both prefixes, and after u the first set has n - p tokens; so at least
-    overlap - (n - p) prefix tokens are shared.  n - p grows with n: the larger set's counts.
-    """
+def needed(n, low, percent: int):
+    """Counted prefix tokens that a document of n tokens must share with a group whose members have ``low`` or more."""
     low = F.greatest(low, F.ceil(n * percent / F.lit(100)))
-    high = F.least(high, F.floor(n * 100 / F.lit(percent)))
-
-    def at(m):
-        overlap = F.ceil((n + m) * percent / F.lit(100 + percent))
-        return overlap - F.greatest(F.lit(0), F.ceil(F.greatest(n, m) * percent / F.lit(100)) - SHARED)
-
-    # between two sizes rounding may lower the bound by one
-    return F.greatest(F.lit(1), F.least(at(low), at(high)) - F.when(low < high, 1).otherwise(0))
+    return F.least(F.lit(SHARED), F.ceil((n + low) * percent / F.lit(100 + percent)))
 
 
 def _links(asks: DataFrame, members: DataFrame, texts: DataFrame, owners: DataFrame, k: int, percent: int) -> DataFrame:
@@ -484,23 +507,19 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     own_group = materialise(own_group.select("uid", "n", F.coalesce("comp", "uid").alias("comp"), F.coalesce("members", F.lit(1)).alias("members")), "own-groups")
 
     # the matrix, and what it nominates
-    buckets = max(n, int(total * 0.2 / 250_000))
+    buckets = 1 + int(total * 0.2 / BUCKET_ENTRIES)
     deal = lambda df: df.mapInArrow(_matrix_blocks(buckets, cells), BLOCKS).repartition(n, "bucket").sortWithinPartitions("bucket")
     with_group = join_sized(reps.select("uid", "n", "prefix"), grouped, ["uid"], "left", 28)
     with_group = with_group.select("uid", "n", "prefix", F.coalesce("comp", "uid").alias("comp"), F.coalesce("members", F.lit(1)).alias("members"))
-    live = deal(with_group.withColumn("free", F.col("n"))).mapInArrow(_by_bucket(_matrix_live), "uid long, live long").groupBy("uid").agg(F.sum("live").alias("live"))
+    live = deal(with_group).mapInArrow(_by_bucket(_matrix_live), "uid long, live long").groupBy("uid").agg(F.sum("live").alias("live"))
     live = join_sized(owners.select("uid", "n"), materialise(live, "live-tokens"), ["uid"], "inner", 20)
-    # of any size that a link may have, the fewest prefix tokens that must meet
-    every_size = (F.ceil(F.col("n") * percent / F.lit(100)), F.floor(F.col("n") * 100 / F.lit(percent)))
-    live = materialise(live.where(F.col("live") >= needed(F.col("n"), *every_size, percent)).select("uid", "live"), "able")
-    # of the prefix only the live tokens can be shared with a set of another group whose prefix ends no earlier; one that
-    # ends earlier may hold the others past its end, so a low count alone rules nothing out
-    bounded = join_sized(with_group, live, ["uid"], "inner", 24).withColumn("free", F.col("n") - F.greatest(F.octet_length("prefix") / 8 - F.col("live"), F.lit(0)))
-    bounded = bounded.select("uid", "n", "prefix", "comp", "members", F.col("free").cast("long").alias("free"))
-    found = deal(bounded).mapInArrow(_matrix_lookup(percent, cells), "q long, g long, shared long, low long, high long")
-    sums = found.groupBy("q", "g").agg(F.sum("shared").alias("shared"), F.min("low").alias("low"), F.max("high").alias("high"))
-    sizes = own_group.select(F.col("uid").alias("q"), "n")
-    asks = materialise(sums.join(sizes, "q").where(F.col("shared") >= needed(F.col("n"), F.col("low"), F.col("high"), percent)).select("q", "g"), "asks")
+    live = materialise(live.where(F.col("live") >= needed(F.col("n"), F.lit(0), percent)).select("uid", "n"), "able")
+    able = join_sized(with_group, live.select("uid"), ["uid"], "left_semi", 12)
+    entries = live.agg(F.sum(F.least(F.col("n"), F.floor(F.col("n") * (100 - percent) / F.lit(100)) + SHARED))).first()[0] or 0
+    buckets = 1 + entries // BUCKET_ENTRIES
+    found = deal(able).mapInArrow(_matrix_lookup(percent, cells, buckets == 1), LOOKED_UP)
+    sums = found.groupBy("q", "g").agg(F.sum("shared").alias("shared"), F.min("low").alias("low"), F.max("n").alias("n"))
+    asks = materialise(sums.where(F.col("shared") >= needed(F.col("n"), F.col("low"), percent)).select("q", "g"), "asks")
 
     # candidate groups are opened: first parts first
     asked = materialise(asks.select("g").distinct(), "asked")
