@@ -60,6 +60,26 @@ def test_exact_dedup(spark, rows):
     assert exact_dedup.keep_first(twice).count() == sum(w[2] for w in want.values())
 
 
+def test_exact_dedup_splits_pages_and_collisions(spark, rows):
+    """Capacity 1, and hashes that are all the same or of four values: splits and pages change nothing."""
+    docs = docs_of(spark, rows + [rows[0]] * 30 + [None] * 5)
+    plain = sorted(map(str, exact_dedup.exact_groups(docs).drop("bucket").collect()))
+    for capacity, hasher in ((1, exact_dedup.hash_of), (3, lambda norm: F.lit(7).cast("long")), (7, lambda norm: F.shiftleft(F.length(norm).cast("long") % 4, 50))):
+        index = exact_dedup.build_index(docs, "doc_id", "text", capacity, hasher)
+        assert index.count() == len(rows) + 35 and index.where("pages > 1").count()
+        assert index.groupBy("bucket", "page").count().where(f"count > {3 * capacity + 8}").isEmpty()
+        assert sorted(map(str, exact_dedup.exact_groups(docs, capacity=capacity, hasher=hasher).drop("bucket").collect())) == plain
+
+
+def test_exact_dedup_keeps_columns_and_the_longest(spark):
+    """Names that the stage could use itself stay; of one id's equal texts the longest stays."""
+    own = [(5, "ab", 1), (5, "a b", 2), (6, "a b", 3), (None, "n", 4), (None, "n ", 5), (7, None, 6), (8, "", 7)]
+    docs = spark.createDataFrame([(*r, "x", "y", "z") for r in own], "doc_id long, text string, gone_id int, Digest string, keep_points string, kept_id string")
+    kept = exact_dedup.keep_first(docs)
+    assert kept.columns == docs.columns
+    assert sorted((r["gone_id"], r["Digest"]) for r in kept.collect()) == [(2, "x"), (5, "x"), (6, "x")]
+
+
 def test_directory_splits_overfull_buckets():
     buckets = exact_dedup.directory({0: 5, 1: 5, 2: 1, 7: 9}, 6, 3)
     assert buckets == [(3, 0), (3, 1), (2, 1), (2, 2), (3, 6), (3, 7)]
