@@ -1,19 +1,23 @@
 """Main text of web pages by composite text density.
 
 A page is parsed into a tree (unclosed and misnested tags are closed as browsers
-do; scripts, styles and other raw elements have no text).  Subtrees that show
-themselves as other than the article by element or role are cut; so are those whose
-class or id is wholly made of such names, unless they are headings, sections named
-by a topic, or hold most of the page's text and all its articles (other than comments).  Of what is left, each node has C characters and T tags, of these LC and LT in
-links; its composite density (Sun, Song and Liao, 2011) is
+do; scripts, styles and other raw elements have no text).  Elements that show themselves
+as other than the article by element, role or being hidden are cut; so are those whose
+class or id is wholly made of such names, unless they are headings or sections named
+by a topic.  But for <nav>, <footer> and names of comments, an element, role or name cuts
+nothing that holds most of the page's text outside links and every <article>, <main>
+and <h1>.  Of what is
+left, each node has C characters and T tags, of these LC and LT in links; its
+composite density (Sun, Song and Liao, 2011) is
 
     C/T * log(C/LC * T/LT) / log(ln(C/(C - LC) * LC + LCb/Cb * C + e))
 
-with b the body and zeros as ones.  The node with the largest sum of its
-children's densities is the core.  The least density on the path from it to the
-body is the threshold: off that path, subtrees that reach it belong to the
-content too.  If the core lies in an <article>, or else a <main>, the whole of
-that element is the content, so that short or linked paragraphs of it stay.
+with b the body and zeros as ones.  The node with the largest sum of the densities of
+its children that are blocks is the core, and all of it is content.  The least density
+on the path from the core to the body is the threshold: off that path, subtrees that
+reach it belong to the content too.  Where two thirds of the text of a node of the path
+below the body reach it, the node's other children do as well, if most of their text is
+outside links: so headings and short paragraphs beside the core stay.
 
 Text: character references are decoded, white space in a block is one space,
 blocks are trimmed and joined by one space in page order; nothing else is
@@ -51,7 +55,9 @@ CLOSES_P = frozenset("address article aside blockquote details div dl fieldset f
 SAME_CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",), "thead": (), "tbody": ("thead", "tbody", "tr", "td", "th")}
 SCOPES = frozenset("html body article main section div table ul ol dl td th blockquote aside nav footer header form".split())
 # Elements, roles and names that aren't the article.
-CUT_TAGS = frozenset("nav footer aside form button select dialog menu svg canvas object audio video map datalist head".split())
+CUT_TAGS = frozenset("nav footer button select dialog menu svg canvas object audio video map datalist head".split())
+#: Elements that may hold the whole page all the same.
+CUT_WRAPPERS = frozenset("aside form header".split())
 CUT_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 CUT_NAMES = frozenset(
     "ad ads adv advert adverts advertisement advertising adsense sponsor sponsored sponsors promo promotion banner cookie cookies consent gdpr notice notices "
@@ -71,23 +77,25 @@ def attributes(raw: str) -> dict[str, str]:
     return {m[1].lower(): m[2] or m[3] or m[4] or "" for m in ATTRIBUTE.finditer(raw)} if raw and not raw.isspace() else {}
 
 
-def is_cut(tag: str, attrs: dict[str, str], inside_article: bool) -> bool:
-    """Whether an element shows itself as something else than the article by element, role or being hidden."""
+def is_cut(tag: str, attrs: dict[str, str]) -> bool:
+    """Whether an element is never text, or hidden."""
     if tag in KEEP:
         return False
-    if tag in CUT_TAGS or tag == "header" and not inside_article:
+    if tag in CUT_TAGS:
         return True
-    if not attrs:
-        return False
-    if "hidden" in attrs or attrs.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", attrs.get("style", ""), re.I):
-        return True
-    return attrs.get("role", "").lower() in CUT_ROLES
+    return bool(attrs) and ("hidden" in attrs or attrs.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", attrs.get("style", ""), re.I) is not None)
 
 
 def cut_names(tag: str, attrs: dict[str, str], inside_article: bool) -> set[str]:
-    """The words of class and id that name an element as something else than the article; every word of such a name must do so or be of FORM_NAMES."""
+    """What names an element as something else than the article: itself, its role, the words of class and id.  Every word of such a name must do so or be of FORM_NAMES."""
     found: set[str] = set()
-    if not attrs or tag in KEEP or tag in HEADINGS:
+    if tag in KEEP:
+        return found
+    if tag in CUT_WRAPPERS and (tag != "header" or not inside_article):
+        found.add(f"<{tag}>")
+    if attrs.get("role", "").lower() in CUT_ROLES:
+        found.add("role")
+    if not attrs or tag in HEADINGS:
         return found
     able = CUT_NAMES - TOPICS if tag == "section" else CUT_NAMES if inside_article else CUT_NAMES | {"header"}
     for name in (attrs.get("class", "") + " " + attrs.get("id", "")).lower().split():
@@ -143,7 +151,7 @@ class Page:
             self.tag.append(name)
             self.parent.append(stack[-1])
             attrs = attributes(m[3] or m[6] or "")
-            self.cut.append(self.cut[stack[-1]] or is_cut(name, attrs, articles > 0))
+            self.cut.append(self.cut[stack[-1]] or is_cut(name, attrs))
             if not self.cut[node] and (names := cut_names(name, attrs, articles > 0)):
                 self.named[node] = names
             if name not in INLINE:
@@ -160,14 +168,15 @@ class Page:
             self._cut_named()
 
     def _cut_named(self) -> None:
-        """Cuts what has the name of something else; not what has most of the text and all articles, unless by the name of comments."""
+        """Cuts what has the name of something else; not what has most of the text outside links and all articles, unless by the name of comments."""
         n = len(self.tag)
         chars, articles = [0] * n, [0] * n
+        in_link = self._in_links()
         for node, text in self.pieces:
-            if not self.cut[node]:
+            if not self.cut[node] and not in_link[node]:
                 chars[node] += sum(map(len, text.split()))
         for i in range(n - 1, 0, -1):
-            articles[i] += chars[i] > 0 and self.tag[i] in ("article", "main")
+            articles[i] += chars[i] > 0 and self.tag[i] in ("article", "main", "h1")
             chars[self.parent[i]] += chars[i]
             articles[self.parent[i]] += articles[i]
         for i in range(1, n):
@@ -175,6 +184,12 @@ class Page:
             wrapper = 2 * chars[i] > chars[0] and articles[i] == articles[0] and COMMENTS.isdisjoint(names)
             self.cut[i] = self.cut[i] or self.cut[self.parent[i]] or bool(names) and not wrapper
 
+    def _in_links(self) -> list[bool]:
+        out = [False] * len(self.tag)
+        for i in range(1, len(out)):
+            out[i] = out[self.parent[i]] or self.tag[i] == "a"
+        return out
+
     def _close(self, stack: list[int], names: tuple[str, ...]) -> None:
         """Closes open elements of these names, up to the nearest scope."""
         for i in range(len(stack) - 1, 0, -1):
@@ -185,13 +200,11 @@ class Page:
             if tag in SCOPES:
                 return
 
-    def densities(self) -> tuple[list[float], list[float]]:
-        """Composite density of every node, and the sum of its children's."""
+    def densities(self) -> tuple[list[float], list[float], list[int], list[int]]:
+        """Of every node: composite density, the sum of its block children's, characters, and those in links."""
         n = len(self.tag)
         chars, tags, link_chars, link_tags = [0] * n, [0] * n, [0] * n, [0] * n
-        in_link = [False] * n
-        for i in range(1, n):
-            in_link[i] = in_link[self.parent[i]] or self.tag[i] == "a"
+        in_link = self._in_links()
         for node, text in self.pieces:
             if not self.cut[node]:
                 size = sum(map(len, text.split()))
@@ -214,14 +227,14 @@ class Page:
                 top = math.log(max(1.0, c / max(1, lc) * t / lt))
                 # a base of e has the logarithm 1, any larger one more
                 own[i] = c / t * top / max(1e-3, base) if base > 0 else c / t * top
-                if i:
+                if i and self.tag[i] not in INLINE:
                     sums[self.parent[i]] += own[i]
-        return own, sums
+        return own, sums, chars, link_chars
 
     def content(self) -> list[bool]:
         """Whether each node is of the main text."""
         n = len(self.tag)
-        own, sums = self.densities()
+        own, sums, chars, link_chars = self.densities()
         body = self.tag.index("body") if "body" in self.tag else 0
         core = max(range(n), key=lambda i: (sums[i] or own[i] * 1e-9, -i))
         path, i = [], core
@@ -230,22 +243,29 @@ class Page:
             if i == body:
                 break
             i = self.parent[i]
+        least = min(own[i] for i in path)
+        beside: dict[int, list[int]] = {i: [] for i in path}
+        on_path = set(path)
+        for i in range(1, n):
+            if self.parent[i] in on_path and i not in on_path and not self.cut[i]:
+                beside[self.parent[i]].append(i)
         inside = [False] * n
-        whole = [i for i in path if self.tag[i] == "article"][-1:] or [i for i in path if self.tag[i] == "main"][-1:]
-        if whole:
-            inside[whole[0]] = True
-        else:
-            inside[core] = True
-            least = min(own[i] for i in path)
-            on_path = set(path)
-            for i in range(1, n):
-                if self.parent[i] in on_path and i not in on_path and not self.cut[i] and own[i] >= least > 0:
-                    inside[i] = True
+        inside[core] = True
+        reached = chars[core]
+        for i in path[1:]:
+            good = [c for c in beside[i] if own[c] >= least > 0]
+            reached += sum(chars[c] for c in good)
+            if i != body and 3 * reached >= 2 * chars[i]:
+                good += [c for c in beside[i] if 2 * link_chars[c] <= chars[c]]
+                inside[i] = True  # its own text, not what is beside the path
+            for c in good:
+                inside[c] = True
+        whole = [core == 0 and not self.cut[0]] + [False] * (n - 1)
         for i in range(1, n):
-            inside[i] = (inside[i] or inside[self.parent[i]]) and not self.cut[i]
-        if not whole and core in (body, 0):
-            inside[0] = True
-        return inside
+            p = self.parent[i]
+            whole[i] = not self.cut[i] and (whole[p] or inside[i] and (i == core or i not in on_path))
+        inside[0] = inside[0] or core == body  # text beside the body
+        return [w or inside[i] and not self.cut[i] for i, w in enumerate(whole)]
 
     def text(self) -> str:
         inside = self.content()

@@ -216,6 +216,62 @@ def test_html_names_of_article_parts():
     assert html_text.main_text(longer) == "Short text."
 
 
+ARTICLE = "<h1>Head of it</h1><p>First long paragraph of the page, with <a href=x>a link</a>.</p><p>Second one, as long as the first.</p><p><a href=y>All of it is a link.</a></p><p>Short.</p>"
+TEXT = "Head of it First long paragraph of the page, with a link. Second one, as long as the first. All of it is a link. Short."
+
+
+@pytest.mark.parametrize("open_, close", [("<article>", "</article>"), ("<div>", "</div>"), ('<form id="aspnetForm"><div>', "</div></form>"), ('<div class="page-with-sidebar"><div>', "</div></div>"), ('<div class="right-sidebar"><div>', "</div></div>"), ('<aside class="widget"><section>', "</section></aside>")])
+def test_html_wrappers(open_, close):
+    """What holds the page is no boilerplate, whatever its name; the element <article> decides nothing."""
+    page = f"<html><body><nav><a href=a>Home</a> <a href=b>News of today</a></nav><div><a href=c>one</a> <a href=d>two</a></div>{open_}{ARTICLE}{close}<footer>All rights</footer></body></html>"
+    assert html_text.main_text(page) == TEXT
+
+
+def test_html_density_decides(monkeypatch):
+    """Without names and telling elements only density parts text from lists of links; with a constant density it can't."""
+    links = "<div>" + "".join(f"<div><a href={i}>Some link {i}</a></div>" for i in range(12)) + "</div>"
+    page = f"<body>{links}<div>{ARTICLE}</div>{links}</body>"
+    assert html_text.main_text(page) == TEXT
+    real = html_text.Page.densities
+    monkeypatch.setattr(html_text.Page, "densities", lambda self: ([1.0] * len(self.tag), [float(sum(p == i for p in self.parent)) for i in range(len(self.tag))], *real(self)[2:]))
+    assert html_text.main_text(page) != TEXT
+
+
+def test_html_densities_equal_brute_force():
+    """Every node's composite density by its formula, from counts over all its descendants."""
+    import math
+
+    rng = random.Random(9)
+
+    def tree(depth):
+        parts = []
+        for _ in range(rng.randint(1, 4)):
+            tag = rng.choice(["div", "p", "span", "a", "ul", ""])
+            parts.append("w" * rng.randint(1, 9) + " " if not tag or depth == 0 else f"<{tag}>{tree(depth - 1) if tag != 'a' else 'link'}</{tag}>")
+        return "".join(parts)
+
+    for _ in range(60):
+        page = html_text.Page(f"<body>{tree(4)}</body>")
+        n = len(page.tag)
+        up = [[i] for i in range(n)]
+        for i in range(1, n):
+            up[i] = [i, *up[page.parent[i]]]
+        size = lambda node, in_link: sum(sum(map(len, t.split())) for m, t in page.pieces if node in up[m] and (not in_link or any(page.tag[x] == "a" for x in up[m])))
+        own, sums, chars, link_chars = page.densities()
+        body = page.tag.index("body")
+        want = []
+        for i in range(n):
+            c, lc = size(i, False), size(i, True)
+            t = max(1, sum(i in up[m] and m != i for m in range(n)))
+            lt = max(1, sum(i in up[m] and m != i and page.tag[m] == "a" for m in range(n)))
+            assert (chars[i], link_chars[i]) == (c, lc)
+            base = math.log(math.log(c / max(1, c - lc) * lc + size(body, True) / max(1, size(body, False)) * c + math.e)) if c else 0
+            top = math.log(max(1, c / max(1, lc) * t / lt)) if c else 0
+            want.append((c / t * top / max(1e-3, base) if base > 0 else c / t * top) if c else 0)
+        assert own == pytest.approx(want)
+        assert sums == pytest.approx([sum(want[m] for m in range(1, n) if page.parent[m] == i and page.tag[m] not in html_text.INLINE) for i in range(n)])
+
+
 def test_html_query(spark):
     df = spark.createDataFrame([(1, "u", "<p>a b</p>"), (2, None, None), (None, "v", "")], "page_id long, url string, html string").withColumn("text", F.lit("clash"))
     got = sorted((tuple(r) for r in html_text.extract(df).collect()), key=str)
