@@ -22,16 +22,19 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import itertools
+import zlib
 from collections.abc import Iterator
 
 import ahocorasick
 import numpy as np
 import pyarrow as pa
 import regex
+import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bitsift.llm.common import chunks, mix, prefix_hash, powers
+from bitsift.llm.common import bound_batches, chunks, mix, powers, prefix_hash, tidy
 
 #: The split pattern that ``piece_starts`` follows; any other goes through the regex library.
 RUNS_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -43,16 +46,29 @@ _classes: list[np.ndarray] = []
 
 
 def classes() -> np.ndarray:
-    """The class of every code point, by the regex library's own tables."""
+    """The class of every code point, as the tokenizer library's own pattern engine sees it."""
     if not _classes:
         table = np.full(0x110000, OTHER, np.uint8)
         points = "".join(chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000)
+        single = {bytes([i]): i for i in range(256)}
         for kind, pattern in ((LETTER, r"\p{L}"), (NUMBER, r"\p{N}"), (SPACE, r"\s")):
-            table[[ord(c) for c in regex.findall(pattern, points)]] = kind
+            # its ids are the bytes of all matches
+            found = tiktoken.Encoding("bytes", pat_str=pattern, mergeable_ranks=single, special_tokens={}).encode_ordinary(points)
+            table[[ord(c) for c in bytes(found).decode()]] = kind
         _classes.append(table)
     return _classes[0]
 
 
+def packed_classes() -> bytes:
+    """The table for the executors, which then need not make it."""
+    return zlib.compress(classes().tobytes())
+
+
+def hold_classes(packed: bytes) -> None:
+    if not _classes:
+        _classes.append(np.frombuffer(zlib.decompress(packed), np.uint8))
+
+
 def piece_starts(points: np.ndarray, text_start: np.ndarray) -> np.ndarray:
     """Where RUNS_PATTERN's matches start in texts laid end to end; text_start: where each text begins."""
     n = len(points)
@@ -97,8 +113,8 @@ class Encoder:
         self.ranks = ranks
         self.tokens = {i: b for b, i in ranks.items()}
         self.longest = max(map(len, ranks), default=1)
-        self.split = regex.compile(pattern).findall
         self.runs = pattern == RUNS_PATTERN
+        self.split = self.run_pieces if self.runs else regex.compile(pattern).findall
         self.parts = self._parts()
         self.pairs: dict[int, bool] = {}
         self.length = {i: len(b) for b, i in ranks.items()}
@@ -115,6 +131,13 @@ class Encoder:
             self.automaton.add_word(token.decode("latin-1"), rank)
         self.automaton.make_automaton()
 
+    @staticmethod
+    def run_pieces(text: str) -> list[str]:
+        """The matches of RUNS_PATTERN."""
+        points = np.frombuffer(text.encode("utf-32-le"), np.uint32)
+        at = [*piece_starts(points, np.zeros(1, np.int64)).tolist(), len(points)] if len(points) else [0]
+        return [text[a:b] for a, b in itertools.pairwise(at)]
+
     def _hashes(self) -> dict[int, tuple[np.ndarray, np.ndarray]]:
         """By length: sorted hashes of the tokens, and their ids."""
         groups: dict[int, list[bytes]] = {}
@@ -394,8 +417,10 @@ class Encoder:
 _encoders: dict[tuple[str, str], Encoder] = {}
 
 
-def encoder(path: str, pattern: str) -> Encoder:
-    """One encoder for each Python worker."""
+def encoder(path: str, pattern: str, packed: bytes | None = None) -> Encoder:
+    """One encoder for each Python worker; packed: the classes that the driver made."""
+    if packed:
+        hold_classes(packed)
     if (key := (path, pattern)) not in _encoders:
         _encoders[key] = Encoder.load(path, pattern)
     return _encoders[key]
@@ -403,9 +428,12 @@ def encoder(path: str, pattern: str) -> Encoder:
 
 def encode_column(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The ids themselves: id, ids array<int>."""
+    bound_batches(docs.sparkSession)
+    packed = packed_classes()
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = encoder(path, pattern)
+        own = encoder(path, pattern, packed)
         for batch in batches:
             ids = [own.encode(t or "") for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(ids, pa.list_(pa.int32()))], ["id", "ids"])
@@ -415,9 +443,12 @@ def encode_column(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_i
 
 def decode_column(encoded: DataFrame, path: str, pattern: str, id_col: str = "id", ids_col: str = "ids") -> DataFrame:
     """The bytes of ids: id, bytes."""
+    bound_batches(encoded.sparkSession)
+    packed = packed_classes()
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = encoder(path, pattern)
+        own = encoder(path, pattern, packed)
         for batch in batches:
             raw = [own.decode(x or []) for x in batch.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(raw, pa.binary())], ["id", "bytes"])
@@ -438,9 +469,12 @@ def round_trip_digest(docs: DataFrame, path: str, pattern: str, id_col: str = "d
 
 def _round_trip(docs: DataFrame, path: str, pattern: str, id_col: str, text_col: str, with_ids: bool) -> DataFrame:
     names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] + ["token_ids"] * with_ids
+    bound_batches(docs.sparkSession)
+    packed = packed_classes()
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = encoder(path, pattern)
+        own = encoder(path, pattern, packed)
         for batch in batches:
             n, ids_sha, text_sha, lists = [], [], [], []
             for ids, back in own.decimals(batch.column("text").to_pylist()):

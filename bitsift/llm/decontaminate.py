@@ -9,14 +9,13 @@ Items of fewer than WINDOW words are one window each and are looked up by their
 whole hash at every word.  Every marked run is then held against the bytes.
 
 The benchmark's index is broadcast in blocks of items of at most
-``block_bytes`` text each: a benchmark beyond one block takes a pass over the
-documents for each block, and their spans are put together by document.
+``block_bytes`` text each: beyond one block, each row goes on from block to block
+with what was found in it so far, so that nothing is joined back.
 
 Cases: null or empty texts have no words and no hits; items without words mark
 nothing; repeated items count under each id (equal ids once); a null item id is
-left out; documents that repeat an id are each scanned, and with more than one
-block their spans are those of any of them; empty tables give unhit or no rows;
-other columns aren't read.
+left out; documents that repeat an id, or have none, are each a row of their own at
+any size of the benchmark; empty tables give unhit or no rows; other columns aren't read.
 """
 
 from __future__ import annotations
@@ -30,7 +29,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bitsift.llm.common import ALNUM, Words, chunks, steps
+from bitsift.llm.common import ALNUM, Words, bound_batches, chunks, steps, tidy
 
 WINDOW = 10
 K = 5
@@ -143,6 +142,7 @@ def _lookup(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 SPANS = "id long, n_words long, starts array<long>, ends array<long>, items array<string>"
+_SPAN_TYPES = (pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.string()))
 
 
 def indexes(benchmark: DataFrame, item_col: str, item_text_col: str, window: int, block_bytes: int) -> Iterator[Broadcast]:
@@ -157,49 +157,53 @@ def indexes(benchmark: DataFrame, item_col: str, item_text_col: str, window: int
 
 def contamination_spans(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, block_bytes: int = 16 << 20) -> DataFrame:
     """One row per document: id, n_words, hit runs of words (starts, ends), items found."""
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    parts = []
-    for index in indexes(benchmark, item_col, item_text_col, window, block_bytes):
-
-        def scan(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                out = [[], [], [], [], []]
-                ids = batch.column("id").to_pylist()
-                texts = batch.column("text").to_pylist()
-                for base, raws in chunks(texts):
-                    words, item, a, b = index.value.hits(raws)
-                    text_of = np.searchsorted(words.first, a, "right") - 1
-                    hit: dict[int, list[int]] = {}
-                    for i, t in enumerate(text_of.tolist()):
-                        hit.setdefault(t, []).append(i)
-                    for t in range(len(raws)):
-                        runs, names = [], []
-                        if t in hit:
-                            at = hit[t]
-                            names = sorted({index.value.ids[item[i]] for i in at})
-                            runs = merged((int(a[i] - words.first[t]), int(b[i] - words.first[t])) for i in at)
-                        row = (ids[base + t], int(words.first[t + 1] - words.first[t]), [x for x, _ in runs], [y for _, y in runs], names)
-                        for column, value in zip(out, row, strict=True):
-                            column.append(value)
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, (pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.string())), strict=True)], ["id", "n_words", "starts", "ends", "items"])
-
-        parts.append(texts.mapInArrow(scan, SPANS))
-    if len(parts) == 1:
-        return parts[0]
-    every = parts[0]
-    for p in parts[1:]:
-        every = every.unionByName(p)
-    return every.groupBy("id").agg(
-        F.max("n_words").alias("n_words"), F.flatten(F.collect_list("starts")).alias("starts"),
-        F.flatten(F.collect_list("ends")).alias("ends"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
-    )
+    bound_batches(docs.sparkSession)
+    found = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    blocks = list(indexes(benchmark, item_col, item_text_col, window, block_bytes))
+    for k, index in enumerate(blocks):
+        found = found.mapInArrow(_scan(index, k == 0, k == len(blocks) - 1), SPANS if k == len(blocks) - 1 else f"{SPANS}, text string")
+    return found
+
+
+def _scan(index: Broadcast, first: bool, last: bool):
+    """Adds the hits of one block to each row; the text goes on but from the last."""
+    names = ["id", "n_words", "starts", "ends", "items"]
+
+    @tidy
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = [[], [], [], [], []]
+            ids = batch.column("id").to_pylist()
+            before = [batch.column(c).to_pylist() for c in names[2:]] if not first else None
+            for base, raws in chunks(batch.column("text").to_pylist()):
+                words, item, a, b = index.value.hits(raws)
+                text_of = np.searchsorted(words.first, a, "right") - 1
+                hit: dict[int, list[int]] = {}
+                for i, t in enumerate(text_of.tolist()):
+                    hit.setdefault(t, []).append(i)
+                for t in range(len(raws)):
+                    runs, items = [], set()
+                    if before:
+                        runs, items = list(zip(before[0][base + t], before[1][base + t], strict=True)), set(before[2][base + t])
+                    if t in hit:
+                        items |= {index.value.ids[item[i]] for i in hit[t]}
+                        runs = merged([*runs, *((int(a[i] - words.first[t]), int(b[i] - words.first[t])) for i in hit[t])])
+                    row = (ids[base + t], int(words.first[t + 1] - words.first[t]), [x for x, _ in runs], [y for _, y in runs], sorted(items))
+                    for column, value in zip(out, row, strict=True):
+                        column.append(value)
+            columns = [pa.array(c, k) for c, k in zip(out, _SPAN_TYPES, strict=True)]
+            yield pa.RecordBatch.from_arrays(columns + [batch.column("text")] * (not last), names + ["text"] * (not last))
+
+    return scan
 
 
 def reject(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, block_bytes: int = 16 << 20) -> DataFrame:
     """The rows of docs, all columns, without a hit; a narrow filter for each block of the benchmark."""
+    bound_batches(docs.sparkSession)
     at = docs.columns.index(text_col)
     for index in indexes(benchmark, item_col, item_text_col, window, block_bytes):
 
+        @tidy
         def run(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 clean = np.ones(batch.num_rows, bool)
@@ -227,11 +231,8 @@ def digest(spans: DataFrame) -> DataFrame:
     """The contract's columns."""
 
     def n_hit(starts, ends):
-        """Words covered by runs that may overlap when several blocks gave them."""
-        runs = F.array_sort(F.arrays_zip(starts.alias("a"), ends.alias("b")))
-        zero = F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("upto"))
-        step = lambda s, r: F.struct((s["n"] + F.greatest(r["b"] - F.greatest(r["a"], s["upto"]), F.lit(0))).alias("n"), F.greatest(s["upto"], r["b"]).alias("upto"))
-        return F.aggregate(runs, zero, step, lambda s: s["n"])
+        """Words covered by runs, which don't overlap."""
+        return F.aggregate(F.zip_with(ends, starts, lambda b, a: b - a), F.lit(0).cast("long"), lambda s, n: s + n)
 
     return spans.select(
         F.col("id").alias("doc_id"), "n_words", n_hit(F.col("starts"), F.col("ends")).alias("n_hit"),

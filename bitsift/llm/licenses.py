@@ -9,8 +9,8 @@ rarest first.  With T a template's size and need = ceil(containment * T):
 
 * prefix filter: a block that meets it has one of its T - need + 1 rarest words;
 * length filter: the block has at least ``need`` distinct words;
-* positional filter: from the first shared word on, what is left of the template
-  in this order reaches ``need``;
+* positional filter: from the shared prefix word on, what is left in this order of the
+  template's words and of the block's words that templates have reaches ``need`` in both;
 * verification: the exact overlap, with the block, then with its lines and windows.
 
 Texts without any prefix word are passed over before they're cut into blocks.
@@ -31,6 +31,7 @@ from __future__ import annotations
 
 import math
 import re
+import string
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -64,11 +65,11 @@ PARTING = r"\n[\x20\x09\x0B-\x0D]*\n"
 
 def words(text: Column) -> Column:
     """Lower-cased words: runs of digits, ASCII letters and code points over 127."""
-    return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", -1), lambda w: w != "")
+    return F.filter(F.split(F.translate(F.coalesce(text, F.lit("")), string.ascii_uppercase, string.ascii_lowercase), r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", -1), lambda w: w != "")
 
 
 def word_run(text: str) -> list[str]:
-    return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", text.lower())
+    return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", text.translate({c: c + 32 for c in range(65, 91)}))
 
 
 def template_words(text: str) -> list[str]:
@@ -85,30 +86,43 @@ def frequencies(docs: DataFrame, text_col: str, vocabulary: list[str]) -> dict[s
     return {r["word"]: r["n"] for r in own.groupBy("word").agg(F.count("*").alias("n")).collect()}
 
 
-def matches(docs: DataFrame, id_col: str, text_col: str, templates: list[tuple[str, str]], containment: float) -> DataFrame:
-    """(id, text_hash, block, label, containment) for every block that meets a template."""
+def candidates(docs: DataFrame, id_col: str, text_col: str, templates: list[tuple[str, str]], containment: float, positional: bool = True) -> DataFrame | None:
+    """Blocks and templates that the filters leave: id, text_hash, block, lines, own, template, label, tokens, need, size, length."""
     spark = docs.sparkSession
     sets: dict[tuple, int] = {}
     for label, text in templates:
         if ws := tuple(template_words(text)):
             sets[label, ws] = max(sets.get((label, ws), 0), len(word_run(text)))
     if not sets:
-        return spark.createDataFrame([], "id long, text_hash long, block int, label string, containment double")
-    counted = frequencies(docs, text_col, sorted({w for _, ws in sets for w in ws}))
-    rank = {w: i for i, w in enumerate(sorted({w for _, ws in sets for w in ws}, key=lambda w: (counted.get(w, 0), w)))}
+        return None
+    vocabulary = sorted({w for _, ws in sets for w in ws})
+    counted = frequencies(docs, text_col, vocabulary)
+    rank = {w: i for i, w in enumerate(sorted(vocabulary, key=lambda w: (counted.get(w, 0), w)))}
     rows = []
     for number, ((label, ws), length) in enumerate(sorted(sets.items())):
         ordered, need = sorted(ws, key=rank.__getitem__), need_of(len(ws), containment)
-        rows += [(w, at, number, label, ordered, need, len(ws), length) for at, w in enumerate(ordered[: len(ws) - need + 1])]
-    index = F.broadcast(spark.createDataFrame(rows, "word string, at int, template int, label string, tokens array<string>, need int, size int, length int"))
+        rows += [(w, rank[w], number, label, ordered, need, len(ws), length) for w in ordered[: len(ws) - need + 1]]
+    index = F.broadcast(spark.createDataFrame(rows, "word string, rank int, template int, label string, tokens array<string>, need int, size int, length int"))
     prefix = F.array(*[F.lit(w) for w in sorted({r[0] for r in rows})])
     text = F.coalesce(F.col(text_col), F.lit(""))
     hit = docs.select(F.col(id_col).cast("long").alias("id"), text.alias("text")).where(F.arrays_overlap(words(F.col("text")), prefix))
     # a run of lines with words is one block; a line without any parts two
     blocks = hit.select("id", F.xxhash64("text").alias("text_hash"), F.posexplode(F.split("text", PARTING, -1)).alias("block", "lines"))
     blocks = blocks.select("id", "text_hash", "block", "lines", F.array_distinct(words(F.col("lines"))).alias("own"))
-    probes = blocks.withColumn("word", F.explode(F.array_intersect("own", prefix)))
-    paired = probes.join(index, "word").where((F.size("own") >= F.col("need")) & (F.col("size") - F.col("at") >= F.col("need")))
+    order = F.array(*[F.lit(w) for w in sorted(vocabulary, key=rank.__getitem__)])  # a word's rank is its place less one
+    known = F.transform(F.array_intersect(order, "own"), lambda w: F.array_position(order, w) - 1)
+    probes = blocks.withColumn("known", known).withColumn("word", F.explode(F.array_intersect("own", prefix)))
+    paired = probes.join(index, "word").where(F.size("own") >= F.col("need"))
+    # a template's prefix words all leave ``need`` of its own; of the block, the words from this rank on are left
+    left = F.size(F.filter("known", lambda r: r >= F.col("rank")))
+    return paired.where(left >= F.col("need")) if positional else paired
+
+
+def matches(docs: DataFrame, id_col: str, text_col: str, templates: list[tuple[str, str]], containment: float) -> DataFrame:
+    """(id, text_hash, block, label, containment) for every block that meets a template."""
+    paired = candidates(docs, id_col, text_col, templates, containment)
+    if paired is None:
+        return docs.sparkSession.createDataFrame([], "id long, text_hash long, block int, label string, containment double")
     shared = F.size(F.array_intersect("own", "tokens"))
     able = paired.where(shared >= F.col("need"))
     # within the block the words must stand on one line, or in a window as long as the template's text

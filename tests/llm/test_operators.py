@@ -100,6 +100,17 @@ def test_decontamination(spark, rows, block_bytes):
     assert decontaminate.contamination_spans(docs.limit(0), bench).count() == 0
 
 
+def test_decontamination_rows(spark):
+    """One row for each input row, whatever their ids and however many blocks the benchmark has."""
+    item = "one two three four five six seven eight nine ten eleven"
+    own = [(1, item), (1, "clean"), (1, f"so {item} and {item}"), (None, item), (None, None), (2, f"{item[:-7]} x")]
+    docs = spark.createDataFrame(own, "doc_id long, text string")
+    bench = spark.createDataFrame([(i, item if i % 2 else f"text {i} " * 9) for i in range(8)], "item_id long, text string")
+    got = [sorted(map(str, decontaminate.digest(decontaminate.contamination_spans(docs, bench, block_bytes=b)).collect())) for b in (16 << 20, 100)]
+    assert got[0] == got[1] and len(got[0]) == 6
+    assert sorted(r["n_hit"] for r in decontaminate.contamination_spans(docs, bench, block_bytes=100).selectExpr("aggregate(zip_with(ends, starts, (b, a) -> b - a), 0L, (s, n) -> s + n) AS n_hit").collect()) == [0, 0, 10, 11, 11, 22]
+
+
 def test_warc(spark, tmp_path):
     pages = [(1, "http://a/é x", "same"), (2, None, "same"), (3, "u", None), (4, "u", ""), (5, "u", "only"), (6, "u", "same"), (7, "u", "fake\r\n\r\nWARC/1.1\r\nWARC-Type: response\r\n\r\n" * 50), (None, "u", "none"), (8, "u", "long" * 20000)]
     df = spark.createDataFrame(pages, "page_id long, url string, html string").withColumn("sha", F.lit("clash"))
@@ -168,6 +179,33 @@ def test_licenses_wrapped(spark):
         assert not labels or got[i]["score"] == 1
 
 
+def test_licenses_positional_filter(spark):
+    """The filter passes over pairs, and loses none that meet; only A-Z are lower-cased."""
+    rng = random.Random(8)
+    pool = sorted({w for _, t in licenses.TEMPLATES for w in licenses.template_words(t)})
+    own = [" ".join(rng.sample(pool, rng.randint(3, 30))) for _ in range(150)] + [t for _, t in licenses.TEMPLATES] + ["c\u212a by \u212aind mit license"]
+    docs = docs_of(spark, own)
+    pairs = [licenses.candidates(docs, "doc_id", "text", licenses.TEMPLATES, 0.9, positional).select("id", "template").distinct() for positional in (False, True)]
+    assert 0 < pairs[1].count() < pairs[0].count()
+    met = [{(i, label) for i, t in enumerate(own) for label, x in licenses.TEMPLATES if len(set(licenses.word_run(t)) & set(licenses.word_run(x))) >= licenses.need_of(len(licenses.template_words(x)), 0.9)}]
+    labels = {(r["id"], x) for r in licenses.scan(docs).collect() for x in r["labels"].split(",")}
+    assert {m for m in met[0] if m[0] >= 150} <= labels
+
+
+def test_bpe_all_code_points(spark):
+    """Every code point between a letter, a number and a blank is cut as the library cuts it."""
+    tiktoken = pytest.importorskip("tiktoken")
+    path, pattern = tokenizer()
+    own = bpe.encoder(path, pattern)
+    library = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=own.ranks, special_tokens={})
+    points = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    lines = ["".join(f"a{c}1{c} " for c in points[i : i + 4096]) for i in range(0, len(points), 4096)]
+    for text, (ids, back) in zip(lines, own.decimals(lines), strict=True):
+        assert back == text.encode() and ids == ",".join(map(str, library.encode_ordinary(text)))
+    for text in ("a\U00018da7a", "\u0558x 12\u0559"):
+        assert own.encode(text) == library.encode_ordinary(text)
+
+
 def test_bpe(spark, rows):
     tiktoken = pytest.importorskip("tiktoken")
     path, pattern = tokenizer()
