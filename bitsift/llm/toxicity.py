@@ -1,23 +1,25 @@
 """Toxic passages by maximum-scoring segments over token log-odds.
 
-Training counts words, and prefixes of words, in toxic and other documents of
-three quarters of the labelled rows; the rest calibrates.  A prefix's log-odds has a flat Dirichlet prior; a word's prior is
-informative: its pseudo-counts follow the rates of its longest counted prefix,
-so that rare words of a telling family count and rare words of none don't
-(Monroe et al., 2008, with a z-score per term).  A word's score is its
-log-odds less DRIFT; so ordinary text drifts down.
+Training counts in how many toxic and other documents words, and prefixes of words,
+are, over three quarters of the labelled rows; the rest calibrates.  All terms in
+``min_count`` documents or more have a signed log-odds.  A prefix's has a flat Dirichlet
+prior; a word's prior is informative: its pseudo-counts follow the rates of its longest
+counted prefix, so that rare words of a telling family count and rare words of none
+don't (Monroe et al., 2008).  A word's score is its log-odds less DRIFT; so ordinary text
+drifts down, and words that speak for clean text break a segment.
 
 Scoring scans a document once and finds all maximal-scoring segments (Ruzzo and
 Tompa, 1999).  A segment's score s in a text of n words is calibrated by the
 extreme-value law of the largest segment of background text: lambda solves
 E[exp(lambda * score)] = 1 over the words of non-toxic documents, K is matched
 to their largest scores, and x = lambda * s - ln(K n) is the log of the inverse
-of the expected number of such segments.  The document's score is a logistic
-function, fitted on the labelled rows, of its best and its summed x.
+of the expected number of such segments.  A segment is significant where that number is
+at most EXPECTED.  The document's score is a logistic function, fitted on the labelled
+rows, of its best x and the sum of those that are significant.
 
 Only texts are inputs of a score.  The labelled rows used are at most
-``sample_rows`` (chosen by a hash of the id), the model has at most
-``max_terms`` terms; both bounds are parameters.  Training counts and
+``sample_rows`` (chosen by a hash of the id), a parameter; that and ``min_count`` bound
+the model's terms, of which none is dropped otherwise.  Training counts and
 background scores are gathered by tasks; only the bounded model and one pair of
 numbers for each sampled document reach the driver.
 
@@ -41,7 +43,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bitsift.llm.common import join_sized, materialise
+from bitsift.llm.common import bound_batches, join_sized, materialise, tidy
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 LOWER = {c: c + 32 for c in range(65, 91)}
@@ -49,6 +51,8 @@ PREFIXES = (6, 5, 4)
 DRIFT = 1.0
 #: Scores that a word may have at most, either way.
 CLIP = 6.0
+#: Segments as good that background text may have, at most, for one to be significant.
+EXPECTED = 0.05
 
 
 def words_of(text: str | None) -> list[str]:
@@ -116,7 +120,7 @@ class Model:
         base = self.log_k + math.log(len(words))
         good = [(self.lam * s - base, a, b) for s, a, b in segments(self.places(words), DRIFT)]
         best = max((x for x, _, _ in good), default=-8.0)
-        passing = [g for g in good if g[0] > 0]
+        passing = [g for g in good if g[0] >= -math.log(EXPECTED)]
         return max(-8.0, min(40.0, best)), min(80.0, sum(x for x, _, _ in passing)), passing
 
     def score(self, best: float, total: float) -> float:
@@ -126,6 +130,7 @@ class Model:
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
 
 
+@tidy
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Documents of each kind by term (a word, or a prefix and a star), and words of each kind under the empty term."""
     for batch in batches:
@@ -155,22 +160,17 @@ def labelled_texts(docs: DataFrame, labels: DataFrame, id_col: str, text_col: st
     return join_sized(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")), chosen, ["id"], "inner", 24)
 
 
-def train(docs: DataFrame, labels: DataFrame, keep, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample_rows: int = 30_000, max_terms: int = 20_000) -> Model:
+def train(docs: DataFrame, labels: DataFrame, keep, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample_rows: int = 30_000, min_count: int = 5) -> Model:
     spark = docs.sparkSession
     rows = labelled_texts(docs, labels, id_col, text_col, label_col, keep, sample_rows)
     rows = materialise(rows.withColumn("part", F.pmod(F.xxhash64("id", F.lit(7)), F.lit(4))), "labelled")
     counts = rows.where("part <> 0").select("text", "toxic").mapInArrow(_count, "term string, clean long, toxic long").groupBy("term").agg(F.sum("clean").alias("c"), F.sum("toxic").alias("t"))
-    counts = materialise(counts.where("t >= 2 OR term = ''"), "terms")
+    counts = materialise(counts.where((F.col("c") + F.col("t") >= min_count) | (F.col("term") == "")), "terms")
     sizes = counts.where("term = ''").first()
     if not sizes or not sizes["c"] or not sizes["t"]:
         return Model()
     n_clean, n_toxic = sizes["c"], sizes["t"]
-    # terms with a positive log-odds of two standard deviations under a prior in proportion to both kinds
-    a = F.lit(2.0) * (F.col("t") + F.col("c")) / (n_clean + n_toxic)
-    odds = F.log((F.col("t") + a) / (n_toxic + 4 - F.col("t") - a)) - F.log((F.col("c") + a) / (n_clean + 4 - F.col("c") - a))
-    z = odds / F.sqrt(1 / (F.col("t") + a) + 1 / (F.col("c") + a))
-    listed = counts.where("term <> ''").select("term", "t", "c", z.alias("z")).where("z > 1.2").orderBy(F.desc("z"), "term").limit(4 * max_terms).collect()
-    model = Model(_terms({r["term"]: (r["t"], r["c"], r["z"]) for r in listed}, n_toxic, n_clean, max_terms))
+    model = Model(_terms({r["term"]: (r["t"], r["c"]) for r in counts.where("term <> ''").select("term", "t", "c").collect()}, n_toxic, n_clean))
     shared = spark.sparkContext.broadcast(model)
 
     def background(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -211,7 +211,7 @@ def train(docs: DataFrame, labels: DataFrame, keep, id_col: str = "doc_id", text
     return model
 
 
-def _terms(counts: dict[str, tuple[int, int, float]], n_toxic: int, n_clean: int, max_terms: int) -> dict[str, float]:
+def _terms(counts: dict[str, tuple[int, int]], n_toxic: int, n_clean: int) -> dict[str, float]:
     """Log-odds: prefixes on a flat prior, words on that of their longest counted prefix."""
     base = math.log(n_toxic / n_clean)
     prior = n_toxic / (n_toxic + n_clean)
@@ -220,10 +220,10 @@ def _terms(counts: dict[str, tuple[int, int, float]], n_toxic: int, n_clean: int
         return math.log((t + strength * rate) / (c + strength * (1 - rate))) - base
 
     out: dict[str, float] = {}
-    for term, (t, c, _) in counts.items():
+    for term, (t, c) in counts.items():
         if term.endswith("*"):
             out[term] = odds(t, c, 4.0, prior)
-    for term, (t, c, _) in counts.items():
+    for term, (t, c) in counts.items():
         if not term.endswith("*"):
             rate = prior
             for n in PREFIXES:
@@ -231,8 +231,7 @@ def _terms(counts: dict[str, tuple[int, int, float]], n_toxic: int, n_clean: int
                     rate = (held[0] + 4.0 * prior) / (held[0] + held[1] + 4.0)
                     break
             out[term] = odds(t, c, 4.0, rate)
-    best = sorted(out, key=lambda k: (-counts[k][2], k))[:max_terms]
-    return {k: round(min(CLIP, out[k]), 2) for k in best if out[k] > 0.5}
+    return {term: round(max(-CLIP, min(CLIP, odds)), 2) for term, odds in out.items()}
 
 
 def _lambda(hist: list[tuple[float, int]]) -> float:
@@ -269,8 +268,10 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float, float] | None
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: id, score, passages (first and end word of each significant segment, and its x)."""
+    bound_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
         kind = pa.list_(pa.struct([("first", pa.int64()), ("end", pa.int64()), ("x", pa.float64())]))
@@ -292,9 +293,11 @@ def held_out(id_):
 
 def reject(docs: DataFrame, model: Model, threshold: float = 0.5, text_col: str = "text") -> DataFrame:
     """The rows of docs, all columns, whose score is under the threshold; a narrow filter."""
+    bound_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index(text_col)
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
         for batch in batches:
