@@ -40,7 +40,9 @@ from bitsift.llm.common import bound_batches, chunks, mix, powers, prefix_hash,
 RUNS_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 LETTER, NUMBER, SPACE, OTHER = range(4)
 #: Bytes of text that are split at a time.
-SPLIT_BYTES = 2 << 20
+SPLIT_BYTES = 512 << 10
+#: Longer pieces are encoded one by one, and aren't held; bytes of shorter ones that share one table.
+SHORT, TABLE_BYTES = 48, 128 << 10
 
 _classes: list[np.ndarray] = []
 
@@ -107,7 +109,7 @@ class Encoder:
     """Ranks of a vocabulary, and the prefix tables over pieces."""
 
     #: Pieces whose encoding is held at a time, twice.
-    CACHE = 75_000
+    CACHE = 30_000
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.ranks = ranks
@@ -327,6 +329,25 @@ class Encoder:
                     break
         return last, begin
 
+    def _names(self, pieces: list[bytes]) -> Iterator[str]:
+        """The ids of pieces, which come longest first, as decimal numbers joined by commas."""
+        last, begin = self.tables(pieces)
+        if len(last) and last.min() < 0:
+            raise ValueError("the vocabulary lacks a byte")
+        end, own, owners, tokens = begin + np.fromiter(map(len, pieces), np.int64, len(pieces)), np.arange(len(pieces)), [], []
+        while len(own):
+            token = last[end[own] - 1]
+            owners.append(own)
+            tokens.append(token)
+            end[own] -= self.lengths[token]
+            own = own[end[own] > begin[own]]
+        owners, tokens = np.concatenate(owners[::-1]), np.concatenate(tokens[::-1])
+        order = np.argsort(owners, kind="stable")
+        names = list(map(str, tokens[order].tolist()))
+        bounds = np.searchsorted(owners[order], np.arange(len(pieces) + 1)).tolist()
+        for a, b in itertools.pairwise(bounds):
+            yield ",".join(names[a:b])
+
     def names_of(self, pieces: list[bytes]) -> list[str]:
         """Each piece's ids as decimal numbers joined by commas; only unknown pieces are encoded."""
         young, old, out, new = self.young, self.old, [], []
@@ -339,29 +360,23 @@ class Encoder:
                 else:
                     young[piece] = held
             out.append(held)
-        short = sorted((i for i in new if len(pieces[i]) <= 48), key=lambda i: -len(pieces[i]))
-        if short:
-            last, begin = self.tables([pieces[i] for i in short])
-            if len(last) and last.min() < 0:
-                raise ValueError("the vocabulary lacks a byte")
-            size = np.fromiter((len(pieces[i]) for i in short), np.int64, len(short))
-            end, own, owners, tokens = begin + size, np.arange(len(short)), [], []
-            while len(own):
-                token = last[end[own] - 1]
-                owners.append(own)
-                tokens.append(token)
-                end[own] -= self.lengths[token]
-                own = own[end[own] > begin[own]]
-            owners, tokens = np.concatenate(owners[::-1]), np.concatenate(tokens[::-1])
-            order = np.argsort(owners, kind="stable")
-            names = list(map(str, tokens[order].tolist()))
-            bounds = np.searchsorted(owners[order], np.arange(len(short) + 1)).tolist()
-            for j, i in enumerate(short):
-                out[i] = ",".join(names[bounds[j] : bounds[j + 1]])
+        short = sorted((i for i in new if len(pieces[i]) <= SHORT), key=lambda i: -len(pieces[i]))
+        block, size = [], 0
+        for i in short:
+            if size + len(pieces[i]) > TABLE_BYTES:
+                for j, name in zip(block, self._names([pieces[j] for j in block]), strict=True):
+                    out[j] = name
+                block, size = [], 0
+            block.append(i)
+            size += len(pieces[i])
+        if block:
+            for j, name in zip(block, self._names([pieces[j] for j in block]), strict=True):
+                out[j] = name
         for i in new:
             if out[i] is None:
                 out[i] = ",".join(map(str, self.encode_piece(pieces[i])))
-            young[pieces[i]] = out[i]
+            else:
+                young[pieces[i]] = out[i]
         if len(young) >= self.CACHE:
             self.old, self.young = young, {}
         return out
