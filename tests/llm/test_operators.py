@@ -376,6 +376,28 @@ def test_ngram_join(spark, seed):
     assert {r["doc_id"] for r in ngram_join.keep_one(docs_of(spark, own)).collect()} == {i for i, (_, c) in want.items() if c == i}
 
 
+def test_ngram_join_hot_tokens(spark):
+    """Tokens dealt to cells, no bands and a column of the stage's own name give the same rows."""
+    rng = random.Random(3)
+    own = []
+    for _ in range(30):
+        w = [f"q{i}" for i in range(60)]
+        for _ in range(rng.randint(0, 5)):
+            w[rng.randrange(60)] = f"z{rng.randrange(5)}"
+        own.append(" ".join(w))
+    docs = docs_of(spark, own).withColumn("gone_id", F.lit("clash"))
+    got = {r["id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.ngram_components(docs, bands=0, hot_token=3).collect()}
+    assert got == ngram_join.brute_force(list(enumerate(own)))
+
+
+def test_word_hashes_of_regular_strings():
+    """Strings of the Thue-Morse sequence and its complement collide under every polynomial modulo 2**64."""
+    own = "".join("ab"[i.bit_count() & 1] for i in range(1024))
+    other = own.translate({97: 98, 98: 97})
+    sets = ngram_join.shingle_sets([t.encode() for n in (8, 16, 60, 64, 65, 1024) for t in (own[:n], other[:n])], 4)
+    assert len({int(s[0]) for s in sets}) == 12
+
+
 @pytest.mark.parametrize("extra", [10, 15])
 def test_ngram_join_contained(spark, extra):
     """Sets contained in larger ones whose own shingles are rare, without bands: only the matrix can find these links."""
