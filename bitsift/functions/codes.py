@@ -98,3 +98,14 @@ def bands(lane: Column, n: int, bits: int = 64) -> Column:
         out.append(F.struct(F.lit(i).alias("band"), (value.bitwiseAND(F.lit(mask).cast("long")) if width < 64 else value).alias("value")))
         at += width
     return F.array(*out)
+
+
+def band_masks(n: int, bits: int = 64) -> list[int]:
+    """The bits of each band as a signed long."""
+    out, at = [], 0
+    for i in range(n):
+        width = bits // n + (i < bits % n)
+        mask = ((1 << width) - 1) << at
+        out.append(mask - (1 << 64) if mask >= 1 << 63 else mask)
+        at += width
+    return out

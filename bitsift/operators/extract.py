@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import math
 from abc import ABC, abstractmethod
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -33,23 +35,37 @@ class ThermometerExtractor(DescriptorExtractor):
 
 
 class WordWindowExtractor(DescriptorExtractor):
-    """A code for each full window of words, at every ``stride``-th start: each word sets one bit by its MD5."""
+    """A code for each full window of words, at every ``stride``-th start: each word sets one bit by its MD5.
+
+    Windows are put together within the document's arrays, from blocks of words that
+    window and stride have in common; only the finished codes become rows.
+    """
 
     def __init__(self, column: str = "text", window: int = 16, stride: int = 4):
         self.column, self.window, self.stride = column, window, stride
+        self.block = math.gcd(window, stride)
 
     @staticmethod
     def _in_lane(j: int):
-        return lambda b: F.when(b["lane"] == j, b["bit"]).otherwise(F.lit(0).cast("long"))
+        return lambda v: F.when(F.shiftright(v, 8) % 4 == j, single_bit(v % 64)).otherwise(F.lit(0).cast("long"))
+
+    @staticmethod
+    def _window_of(column: str, n: int):
+        return lambda at: reduce(Column.bitwiseOR, [F.get(column, at + i) for i in range(n)])
+
+    @staticmethod
+    def _starts(n: Column, step: int) -> Column:
+        """0, step, ... below n; none if n is 0."""
+        return F.when(n > 0, F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0)), F.lit(step))).otherwise(F.array().cast("array<int>"))
 
     def extract(self, df: DataFrame, keep: Sequence[str]) -> DataFrame:
-        digit = lambda h, a, n: F.conv(F.substring(h, a, n), 16, 10).cast("int")
-        word = lambda h: F.struct((digit(h, 1, 1) % 4).alias("lane"), single_bit(digit(h, 2, 2) % 64).alias("bit"))
-        bits = F.transform(F.split(self.column, " "), lambda w: word(F.md5(w)))
-        split = df.select(*keep, bits.alias("bits"))
-        # one pass over the words for each lane, then windows of longs
-        per_lane = [F.transform("bits", self._in_lane(j)).alias(c) for j, c in enumerate(LANES)]
-        laned = split.select(*keep, F.size("bits").alias("n"), *per_lane)
-        starts = F.when(F.col("n") >= self.window, F.sequence(F.lit(0), F.greatest(F.col("n") - self.window, F.lit(0)), F.lit(self.stride))).otherwise(F.array().cast("array<int>"))
-        at = laned.select(*keep, *LANES, F.explode(starts).alias("ord"))
-        return at.select(*keep, "ord", *[or_bits(F.slice(c, F.col("ord") + 1, self.window)).alias(c) for c in LANES])
+        word = lambda w: F.conv(F.substring(F.md5(w), 1, 3), 16, 10).cast("int")
+        words = df.select(*keep, F.transform(F.split(self.column, " "), word).alias("bits"))
+        rows = words.select(*keep, F.floor(F.size("bits") / self.block).cast("int").alias("n"), *[F.transform("bits", self._in_lane(j)).alias(c) for j, c in enumerate(LANES)])
+        if self.block > 1:
+            blocks = self._starts(F.col("n") * self.block, self.block)
+            rows = rows.select(*keep, "n", *[F.transform(blocks, self._window_of(c, self.block)).alias(c) for c in LANES])
+        wide = self.window // self.block
+        code = lambda at: F.struct((at * self.block).alias("ord"), *[self._window_of(c, wide)(at).alias(c) for c in LANES])
+        codes = F.transform(self._starts(F.col("n") - (wide - 1), self.stride // self.block), code)
+        return rows.select(*keep, F.explode(codes).alias("code")).select(*keep, "code.*")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from bitsift.functions.codes import LANES, bands, hamming, lanes
+from bitsift.functions.codes import LANES, band_masks, bands, hamming, lanes
 
 #: Largest side, in rows of five longs, that a search broadcasts after counting it.
 BROADCAST_ROWS = 500_000
@@ -48,7 +48,8 @@ def knn(queries: DataFrame, codes: DataFrame, k: int, max_distance: int | None =
 def lane_join(queries: DataFrame, codes: DataFrame, max_distance: int = 3, query_cols: tuple[str, ...] = ("qid",), code_cols: tuple[str, ...] = ("vec_id",)) -> DataFrame:
     """All pairs within max_distance <= 3, exactly: of four lanes at least one must be equal.
 
-    Both sides become (lane, value) rows and meet in one shuffle; a pair that
+    Both sides become (lane, value) rows.  Few queries (counted) are broadcast, so the
+    codes aren't shuffled; more of them meet the codes in one shuffle.  A pair that
     agrees on several lanes is counted at the first of them, so no distinct is needed.
     """
     if not 0 <= max_distance <= 3:
@@ -57,7 +58,7 @@ def lane_join(queries: DataFrame, codes: DataFrame, max_distance: int = 3, query
     q = queries.select(*query_cols, *[F.col(c).alias("q_" + c) for c in LANES], F.explode(key).alias("key")).select("*", "key.*").drop("key")
     x = codes.select(*code_cols, *LANES, F.explode(key).alias("key")).select("*", "key.*").drop("key")
     first = F.coalesce(*[F.when(F.col("q_" + c) == F.col(c), j) for j, c in enumerate(LANES)])
-    pairs = x.join(q, ["lane", "value"]).withColumn("distance", hamming(lanes("q_"), lanes()))
+    pairs = x.join(sized(q), ["lane", "value"]).withColumn("distance", hamming(lanes("q_"), lanes()))
     return pairs.where((F.col("distance") <= max_distance) & (first == F.col("lane"))).select(*query_cols, *code_cols, "distance")
 
 
@@ -68,7 +69,7 @@ def band_join(left: DataFrame, right: DataFrame, max_distance: int, lane: str =
     n = max_distance + 1
     cut = lambda df, i, h: df.select(F.col(i), F.col(lane).alias(h), F.explode(bands(F.col(lane), n)).alias("key")).select(i, h, "key.band", "key.value")
     x, y = cut(left, left_id, "x"), cut(right, right_id, "y")
-    pairs = x.join(y, ["band", "value"]).withColumn("distance", F.bit_count(F.col("x").bitwiseXOR(F.col("y"))).cast("int")).where(F.col("distance") <= max_distance)
-    zipped = F.arrays_zip(bands(F.col("x"), n).alias("p"), bands(F.col("y"), n).alias("q"))
-    first = F.array_min(F.transform(F.filter(zipped, lambda z: z["p"]["value"] == z["q"]["value"]), lambda z: z["p"]["band"]))
+    differ = F.col("x").bitwiseXOR(F.col("y"))
+    pairs = x.join(y, ["band", "value"]).withColumn("distance", F.bit_count(differ).cast("int")).where(F.col("distance") <= max_distance)
+    first = F.coalesce(*[F.when(differ.bitwiseAND(F.lit(mask)) == 0, i) for i, mask in enumerate(band_masks(n))])
     return pairs.where(first == F.col("band")).select(left_id, right_id, "distance")
