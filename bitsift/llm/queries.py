@@ -64,8 +64,9 @@ def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    model = quality.train(docs, table(spark, sf_dir, "labels"), lambda i: ~toxicity.held_out(i))
-    scored = quality.score(docs, model)
+    made = quality.features(docs)
+    model = quality.train(made, table(spark, sf_dir, "labels"), lambda i: ~toxicity.held_out(i))
+    scored = quality.score(made, model)
     return scored.select(F.col("id").alias("doc_id"), toxicity.held_out(F.col("id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "text_score", "meta_score")
 
 

@@ -7,6 +7,7 @@ import re
 import textwrap
 from collections import defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -459,9 +460,47 @@ def test_loser_tree_and_front_coding():
 def test_quality(spark):
     docs, labels = labelled(spark)
     noisy = docs.withColumn("text", F.when(F.col("doc_id") % 4 == 0, F.concat_ws(" ", F.transform(F.split("text", " "), lambda w: F.concat(w, F.lit("###"))))).otherwise(F.col("text"))).withColumn("id", F.lit("clash"))
-    model = quality.train(noisy, labels, lambda i: ~toxicity.held_out(i))
-    got = {r["id"]: r["score"] for r in quality.score(noisy, model).collect()}
-    assert len(got) == 602 and all(0 <= s <= 1 for s in got.values())
+    odd = noisy.where("doc_id IN (1, 4)").unionByName(noisy.where("doc_id = 2").withColumn("doc_id", F.lit(None).cast("long")))  # repeated ids, no id
+    made = quality.features(noisy.unionByName(odd))
+    keep = lambda i: ~toxicity.held_out(i)
+    model = quality.train(made, labels.where("doc_id < 300").unionByName(spark.createDataFrame([(7, None, None), (None, 1, 0)], labels.schema)), keep)
+    scored = quality.score(made, model).collect()
+    got = {r["id"]: r["score"] for r in scored}
+    assert len(scored) == 605 and len(got) == 603 and all(0 <= s <= 1 for s in got.values())
     assert sum((got[i] >= 0.5) == (i % 4 != 0) for i in range(600)) > 590
-    assert model.pseudo >= 0
-    assert quality.train(noisy, labels.limit(0), lambda i: ~toxicity.held_out(i)).joint is None
+    assert model.pseudo > 200  # of 300 rows without a label and those held out
+    assert quality.train(made, labels.limit(0), keep).joint is None
+    assert quality.score(made.limit(0), model).count() == 0
+
+
+def two_views(seed, n):
+    rng = np.random.default_rng(seed)
+    y = rng.integers(0, 2, n).astype(float)
+    sign = (2 * y - 1)[:, None]
+    return rng.normal(sign * 0.45, 1, (n, 16)), rng.normal(sign * 0.55, 1, (n, 12)), y
+
+
+def test_quality_exchange_helps():
+    alone, together = [], []
+    for seed in range(5):
+        text, meta, y = two_views(seed, 6000)
+        part = np.arange(60) % 3 > 0
+        pool = lambda views, calibrated, base, t=text[60:4000], m=meta[60:4000]: quality.exchange(views, calibrated, (t, m), 0.9, base)
+        for rounds, found in ((0, alone), (4, together)):
+            model = quality.co_train(text[:60], meta[:60], y[:60], part, pool, rounds)
+            for view, x in zip(model.views, (text, meta), strict=True):
+                found.append(((view.logit(x[4000:]) > 0) == (y[4000:] > 0.5)).mean())
+    assert 1 - np.mean(together) < 0.75 * (1 - np.mean(alone))  # a quarter of the errors at least
+
+
+def test_quality_sums_by_task(spark):
+    rng = np.random.default_rng(3)
+    raw = rng.random((300, quality.N_TEXT + quality.N_META)).astype(np.float32)
+    raw[:, quality.N_TEXT : quality.N_TEXT + 2] = rng.integers(0, 16, (300, 2))
+    text, meta = quality.unpack([r.tobytes() for r in raw])
+    y = (text[:, 0] + meta[:, -2] > 1).astype(float)
+    views = quality.fit(text, y), quality.fit(meta, y)
+    calibrated = tuple(quality.fit(v.logit(x)[:, None], y) for v, x in zip(views, (text, meta), strict=True))
+    table = spark.createDataFrame([(bytearray(r.tobytes()),) for r in raw], "x binary").repartition(5)
+    got, want = quality._pool_sums(table, 0.6)(views, calibrated, 0.1), quality.exchange(views, calibrated, (text, meta), 0.6, 0.1)
+    assert all(np.allclose(got[k], want[k]) for k in want) and sum(s[0] for s in want.values()) > 100
